@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch that are Python objects at the same time.
+#: Rows of an Arrow batch that are Python objects at the same time; an operator may ask for another number.
 SLICE = 256
 
 
@@ -36,7 +36,7 @@ def written(df: DataFrame, *partitioned: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], returns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], returns: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SLICE) -> DataFrame:
     """``doc_id`` and the fields of ``returns`` (DDL) for each row of ``docs``; other columns are not read.
 
     ``make()`` runs once a task and gives a function from a list of texts (None for null) to a list of tuples.
@@ -49,10 +49,10 @@ def map_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], return
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = work(part.column(1).to_pylist())
-                columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = work(part.column(1).to_pylist())
+                columns = list(zip(*made, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True))],
                     names=["doc_id", *(n for n, _ in types)],
