@@ -15,6 +15,18 @@ from pyspark.sql.types import StructType
 SLICE = 256
 
 
+def once(make: Callable) -> Callable:
+    """``make`` without arguments, called at most once in a process or task; unlike lru_cache it travels by value."""
+    made: list = []
+
+    def get():
+        if not made:
+            made.append(make())
+        return made[0]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

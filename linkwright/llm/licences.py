@@ -11,14 +11,13 @@ rows and ids are each treated alone; other columns are not read. Whole texts are
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import map_text
+from linkwright.llm.common import map_text, once
 
 #: Bytes of words stay (A-Z in lower case), others become spaces; bytes of non-ASCII characters belong to words.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -150,7 +149,7 @@ def rules() -> list[Rule]:
 GATES = tuple(x.encode() for x in ("licen", "spdx", "permission", "neither the name", "redistribution", "unencumbered", "public domain", "all rights reserved", "confidential", "copyright", "cc by", "cc0", "cc zero", "creative commons", "gpl", "gnu ", "apache", " under ", "subject to", "governed by", "accordance with", "compliance with", "accept", "according to"))
 
 
-@lru_cache(1)
+@once
 def scanner() -> tuple:
     every = rules()
     gate = ahocorasick.Automaton()

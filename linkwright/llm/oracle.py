@@ -23,4 +23,12 @@ SELECT d.doc_id, d.source, d.rank // 8 AS block, (d.rank // 8) // s.q * s.period
 FROM placed d JOIN slots s ON s.source IS NOT DISTINCT FROM d.source AND s.nth = (d.rank // 8) % s.q
 """
 
-SQL = {"op2_mixing": MIXING}
+WARC = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, list_transform(range(1, 41, 10), lambda i: ('0x' || h[i:i + 9])::BIGINT) AS parts FROM d),
+e AS (SELECT *, list_aggregate(list_transform(parts, lambda n: list_aggregate(list_transform(range(7, -1, -1), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((n >> (5 * k)) & 31) + 1]), 'string_agg', '')), 'string_agg', '') AS digest,
+             min(page_id) OVER (PARTITION BY h) AS first FROM b)
+SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM e
+"""
+
+SQL = {"op7_warc": WARC, "op2_mixing": MIXING}

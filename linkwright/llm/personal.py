@@ -15,13 +15,12 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from functools import lru_cache
 from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import map_text
+from linkwright.llm.common import map_text, once
 
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
@@ -66,7 +65,7 @@ MAYBE_IP = re.compile(r"[0-9]\.[0-9]+\.")
 TELL_DOT, TELL_AT = ("dot", "punto", "punkt", "point"), re.compile(r"[\[({<]\s{0,9}(?:at|arroba|@|\.)\s{0,9}[\])}>]", re.I)
 
 
-@lru_cache(1)
+@once
 def odd_characters() -> dict[str, str]:
     """Characters with a plain ASCII reading: look-alikes, wide and styled forms, decimal digits of any script, invisible ones."""
     plain = set("@.+-_%()") | {c for c in map(chr, range(128)) if c.isalnum()}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from linkwright.llm import language, licences, lines, mixing, oracle, personal
+from linkwright.llm import language, licences, lines, mixing, oracle, packing, personal, warc
 from linkwright.llm.common import table
 
 QUERIES = {
     "op1_personal_data": lambda spark, d: personal.digest(table(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op3_line_quality": lambda spark, d: lines.digest(table(spark, d, "documents")),
+    "op4_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
     "op5_licences": lambda spark, d: licences.digest(table(spark, d, "documents")),
     "op6_language": lambda spark, d: language.digest(table(spark, d, "documents")),
+    "op7_warc": lambda spark, d: warc.digest(table(spark, d, "pages")),
 }
 ORACLE: dict[str, str] = oracle.SQL
