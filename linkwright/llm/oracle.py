@@ -31,4 +31,18 @@ e AS (SELECT *, list_aggregate(list_transform(parts, lambda n: list_aggregate(li
 SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM e
 """
 
-SQL = {"op7_warc": WARC, "op2_mixing": MIXING}
+NEAR = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+c AS (SELECT list_sort(s) AS s, min(doc_id) AS doc_id FROM s WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM c),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id > b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM c UNION SELECT r.node, b.y FROM reach r JOIN sym b ON b.x = r.seen),
+part AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(p.component, s.doc_id) AS component_id, s.doc_id = coalesce(p.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOIN part p ON p.node = c.doc_id
+"""
+
+SQL = {"op8_near_duplicates": NEAR, "op7_warc": WARC, "op2_mixing": MIXING}

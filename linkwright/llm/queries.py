@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkwright.llm import language, licences, lines, mixing, oracle, packing, personal, warc
+from linkwright.llm import language, licences, lines, mixing, neardup, oracle, packing, personal, warc
 from linkwright.llm.common import table
 
 QUERIES = {
@@ -13,5 +13,6 @@ QUERIES = {
     "op5_licences": lambda spark, d: licences.digest(table(spark, d, "documents")),
     "op6_language": lambda spark, d: language.digest(table(spark, d, "documents")),
     "op7_warc": lambda spark, d: warc.digest(table(spark, d, "pages")),
+    "op8_near_duplicates": lambda spark, d: neardup.digest(table(spark, d, "documents")),
 }
 ORACLE: dict[str, str] = oracle.SQL
