@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkwright.llm import language, licences, lines, mixing, neardup, neighbours, oracle, packing, personal, warc
+from linkwright.llm import language, licences, lines, mixing, neardup, neighbours, oracle, packing, personal, substrings, warc
 from linkwright.llm.common import table
 
 QUERIES = {
@@ -15,5 +15,6 @@ QUERIES = {
     "op7_warc": lambda spark, d: warc.digest(table(spark, d, "pages")),
     "op8_near_duplicates": lambda spark, d: neardup.digest(table(spark, d, "documents")),
     "op9_neighbours": lambda spark, d: neighbours.digest(table(spark, d, "embeddings")),
+    "op10_repeats": lambda spark, d: substrings.digest(table(spark, d, "documents")),
 }
 ORACLE: dict[str, str] = oracle.SQL
