@@ -18,8 +18,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,6 +237,22 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
     return map_text(docs, make, "lang_pred string, score double", id_col, text_col, rows=1024)
 
 
+def accepted(docs: DataFrame, field: Field | None, least: float, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is ``und`` or whose language scores below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(field and field.parts())
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        tagger = Tagger(Field(*model)) if model else None
+        for texts in batches:
+            own = texts.where(texts.notna(), None).tolist()
+            got = [p for at in range(0, len(own), 1024) for p in tagger.predict(own[at : at + 1024])] if tagger else [("und", 0.0)] * len(own)
+            yield pd.Series([-1.0 if lang == "und" else s for lang, s in got], dtype="float64")
+
+    return docs.withColumn("_score", score(F.col(text_col).cast("string"))).where(F.col("_score") >= least).select(*docs.columns)
+
+
 def label_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and runs array<struct<lang, start, end>> of neighbouring words of one language, for code-switched text."""
     shared = docs.sparkSession.sparkContext.broadcast(field.parts())

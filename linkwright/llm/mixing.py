@@ -92,9 +92,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period:
     return out.select(*docs.columns, "_block", "_slot", F.col("_place").cast("long"), "_in_mix")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with their own columns."""
-    return mix(docs, **options).where("_in_mix").select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix, with their own columns.
+
+    Within a source the mix takes a prefix of the fixed random order, so a row a source, its last key, decides; texts are
+    filtered where they are read and never shuffled. Rows with equal id and source are in the mix together.
+    """
+    ids = mix(docs.select(id_col, source_col), id_col=id_col, source_col=source_col, **options).where("_in_mix")
+    key = F.struct(order_key(id_col).alias("k"), F.col(id_col).alias("i"))
+    last = ids.groupBy(F.col(source_col).cast("string").alias("_of")).agg(F.max(key).alias("_last"))
+    return docs.join(F.broadcast(last), F.col(source_col).cast("string").eqNullSafe(F.col("_of"))).where(key <= F.col("_last")).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

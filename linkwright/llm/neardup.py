@@ -210,10 +210,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that are near duplicates of a smaller id."""
-    id_col = options.get("id_col", "doc_id")
+    """``docs`` with one document of each group: that with the smallest id. Of rows with equal id and text one stays."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    stay = docs.join(written(gone), id_col, "left_anti").select(*docs.columns)
+    again = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))  # mostly none
+    return stay.join(again, id_col, "left_anti").select(*docs.columns).unionByName(stay.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

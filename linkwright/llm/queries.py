@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from linkwright.llm import language, licences, lines, mixing, neardup, neighbours, oracle, packing, personal, substrings, warc
 from linkwright.llm.common import table
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_personal_data": lambda spark, d: personal.digest(table(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op3_line_quality": lambda spark, d: lines.digest(table(spark, d, "documents")),
