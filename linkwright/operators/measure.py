@@ -11,7 +11,7 @@ KS = [5, 10, 20, 30, 50, 75, 100, 200]
 
 def truth_pairs(truth: DataFrame, entity: str = "source1_entity_id", ids: str = "matched_entity_ids") -> DataFrame:
     """Pairs of a table of comma-joined lists; blanks around ids are dropped, as are empty ones."""
-    each = F.explode(F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), F.trim), lambda x: x != ""))
+    each = F.explode(F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return truth.select(F.col(entity).alias("source1_entity_id"), each.alias("candidate_entity_id")).distinct()
 
 

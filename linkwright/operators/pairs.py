@@ -80,7 +80,7 @@ def number_features(a: Column, b: Column) -> dict[str, Column]:
     when = lambda c, other: F.when(some, number(c)).otherwise(other)
     return {
         "num1_eq": when(first_a == first_b, -1.0), "num1_diff": when(F.least(F.abs(first_a - first_b), F.lit(MOST_DIFFERENCE)), -1.0), "num1_prefix": when(prefix, 0.0),
-        "num_near_miss": when(F.size(F.filter(gaps, lambda g: (g > 0) & (g <= NEAR))), 0.0), "num_min_diff": when(F.coalesce(F.least(F.array_min(gaps), F.lit(MOST_DIFFERENCE)), F.lit(-1)), -1.0),
+        "num_near_miss": when(F.size(F.filter(gaps, lambda g: (g > 0) & (g <= NEAR))), 0.0), "num_min_diff": when(F.when(F.size(gaps) > 0, F.least(F.array_min(gaps), F.lit(MOST_DIFFERENCE))).otherwise(-1), -1.0),
     }
 
 

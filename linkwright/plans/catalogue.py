@@ -23,11 +23,14 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, before: str = ""):
-    """Registers a function of a Linkage under its name. ``sql``: the final SELECT; ``before``: further table expressions."""
+def query(sql: str | None = None, before: str = "", keep: bool = False):
+    """Registers a function of a Linkage under its name. ``sql``: the final SELECT; ``before``: further table expressions.
+
+    ``keep``: bags, index and candidate lists are written once, as in production, since the plan reads them several times.
+    """
 
     def register(make):
-        QUERIES[make.__name__] = lambda spark, sf_dir: make(linkage.documents(spark, sf_dir, SETTINGS))
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(linkage.documents(spark, sf_dir, SETTINGS, keep))
         if sql:
             ORACLE[make.__name__] = f"WITH {PRELUDE}{',' + before if before else ''}\n{sql}"
         return make
@@ -167,7 +170,8 @@ def reverse_summary(w) -> DataFrame:
 @query(
     """SELECT share, count(*) AS pairs, round(sum((t.source1_entity_id IS NOT NULL)::INT) / (SELECT count(*) FROM truth), 6) AS recall
 FROM (SELECT f.*, max(score) OVER (PARTITION BY source1_entity_id) AS best FROM fwd f) f JOIN (SELECT unnest([0.3, 0.4, 0.5, 0.6])::DOUBLE AS share) g ON score >= share * best
-LEFT JOIN truth t USING (source1_entity_id, candidate_entity_id) GROUP BY 1"""
+LEFT JOIN truth t USING (source1_entity_id, candidate_entity_id) GROUP BY 1""",
+    keep=True,
 )
 def relative_cut(w) -> DataFrame:
     labelled, n = measure.label_pairs(w.forward, w.truth), w.truth.agg(F.count(F.lit(1)).alias("n"))
@@ -187,6 +191,7 @@ def _view(n: str, prefixes: tuple[str, ...], k: int) -> str:
 @query(
     "SELECT DISTINCT query AS source1_entity_id, candidate AS candidate_entity_id FROM (SELECT query, candidate FROM tva UNION ALL SELECT query, candidate FROM tvb UNION ALL SELECT query, candidate FROM tvc)",
     ",".join((_view("a", retrieve.NAME_VIEW + retrieve.ADDRESS_VIEW, 5), _view("b", retrieve.NAME_VIEW, 2), _view("c", retrieve.ADDRESS_VIEW, 2))),
+    keep=True,
 )
 def multi_view(w) -> DataFrame:
     return retrieve.multi_view(w.bags1, w.bags23, 10, SETTINGS.min_idf)
@@ -195,27 +200,27 @@ def multi_view(w) -> DataFrame:
 # Candidates.
 
 
-@query("SELECT * FROM united")
+@query("SELECT * FROM united", keep=True)
 def union_reverse(w) -> DataFrame:
     return w.united
 
 
-@query("SELECT source1_entity_id, candidate_entity_id, is_anchor FROM anch")
+@query("SELECT source1_entity_id, candidate_entity_id, is_anchor FROM anch", keep=True)
 def anchors(w) -> DataFrame:
     return w.anchored.select(*PAIR, "is_anchor")
 
 
-@query("SELECT * FROM edges")
+@query("SELECT * FROM edges", keep=True)
 def sibling_edges(w) -> DataFrame:
     return w.edges
 
 
-@query("SELECT * FROM expd")
+@query("SELECT * FROM expd", keep=True)
 def sibling_expand(w) -> DataFrame:
     return w.expanded
 
 
-@query(f"SELECT source1_entity_id, candidate_entity_id, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in candidates.CONTEXT)} FROM ctx")
+@query(f"SELECT source1_entity_id, candidate_entity_id, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in candidates.CONTEXT)} FROM ctx", keep=True)
 def context_features(w) -> DataFrame:
     return w.context.select(*PAIR, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in candidates.CONTEXT])
 
@@ -285,7 +290,7 @@ def _shares(side: str) -> str:
     return f"{share(f'ta_{side} + tb_{side} - c_{side}', 'jacc')}, {share(f'ta_{side}', 'cov_a')}, {share(f'tb_{side}', 'cov_b')}, {six_sql(f'{side}_w_miss_a', f'{side}_w_miss_b')}"
 
 
-@query(f"SELECT source1_entity_id, candidate_entity_id, {_shares('name')}, {_shares('addr')} FROM (SELECT source1_entity_id, candidate_entity_id, {_overlap('name')}, {_overlap('addr')} FROM fwd f)")
+@query(f"SELECT source1_entity_id, candidate_entity_id, {_shares('name')}, {_shares('addr')} FROM (SELECT source1_entity_id, candidate_entity_id, {_overlap('name')}, {_overlap('addr')} FROM fwd f)", keep=True)
 def idf_overlap(w) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _sides(w, w.prepared).select(*PAIR, *_six(pairs.weight_features(a, b, "name") | pairs.weight_features(a, b, "addr")))
@@ -302,7 +307,7 @@ def string_ratios(w) -> DataFrame:
     return df.select(*PAIR, "k.ratio", "k.tset", "k.tsort", "k.partial")
 
 
-@query()
+@query(keep=True)
 def pair_features(w) -> DataFrame:
     return pairs.pair_features(w.forward.select(*PAIR), w.prepared)
 
@@ -323,7 +328,8 @@ def label_pairs(w) -> DataFrame:
 
 @query(
     """SELECT k, round(avg((coalesce(rank, 1000000) <= k)::INT), 6) AS recall, any_value(pairs) AS pairs FROM (SELECT g.k, t.*, f.rank, (SELECT count(*) FROM fwd WHERE fwd.rank <= g.k) AS pairs
-FROM truth t CROSS JOIN (SELECT unnest([1, 3, 5, 10])::INT AS k) g LEFT JOIN fwd f USING (source1_entity_id, candidate_entity_id)) GROUP BY k"""
+FROM truth t CROSS JOIN (SELECT unnest([1, 3, 5, 10])::INT AS k) g LEFT JOIN fwd f USING (source1_entity_id, candidate_entity_id)) GROUP BY k""",
+    keep=True,
 )
 def recall_at_k(w) -> DataFrame:
     return measure.recall_at_k(w.forward, w.truth, [1, 3, 5, 10]).select("k", *six("recall"), "pairs")
@@ -344,7 +350,8 @@ def missed_pairs(w) -> DataFrame:
 
 @query(
     """SELECT round(avg(coalesce((fwd = 1)::INT, 0)), 6) AS recall_forward, round(avg(coalesce((fwd = 1 OR rev_rank <= 3)::INT, 0)), 6) AS recall_reverse, round(avg((c.fwd IS NOT NULL)::INT), 6) AS recall_sibling
-FROM truth LEFT JOIN ctx c USING (source1_entity_id, candidate_entity_id)"""
+FROM truth LEFT JOIN ctx c USING (source1_entity_id, candidate_entity_id)""",
+    keep=True,
 )
 def recall_attribution(w) -> DataFrame:
     df = w.context.withColumn("in_reverse", (F.col("rev_rank") <= SETTINGS.reverse_k).cast("int"))
@@ -422,17 +429,17 @@ GRID_T = f"(SELECT * FROM {_values(decide.THRESHOLDS, 'threshold')}, {_values(de
 GRID_E = f"(SELECT * FROM {_values(decide.MISSES, 'miss')}, {_values(decide.POWERS, 'power')})"
 
 
-@query(f05(threshold_rule(f"(SELECT * FROM lab, {GRID_T})", "threshold", "rel", "threshold, rel,"), ("threshold", "rel"), GRID_T))
+@query(f05(threshold_rule(f"(SELECT * FROM lab, {GRID_T})", "threshold", "rel", "threshold, rel,"), ("threshold", "rel"), GRID_T), keep=True)
 def tune_threshold(w) -> DataFrame:
     return decide.tune_threshold(_scored(w), w.entities).select("threshold", "rel", *six("f05"))
 
 
-@query(f05(expected_rule(f"(SELECT * FROM lab, {GRID_E})", "miss", "power", "miss, power,"), ("miss", "power"), GRID_E))
+@query(f05(expected_rule(f"(SELECT * FROM lab, {GRID_E})", "miss", "power", "miss, power,"), ("miss", "power"), GRID_E), keep=True)
 def tune_expected(w) -> DataFrame:
     return decide.tune_expected(_scored(w), w.entities).select("miss", "power", *six("f05"))
 
 
-@query("SELECT p AS threshold, (SELECT count(*) FROM lab WHERE label = 1) AS n_positive FROM (SELECT p, row_number() OVER (ORDER BY p) AS r FROM lab WHERE label = 1) WHERE r = floor((1 - 0.9) * (SELECT count(*) FROM lab WHERE label = 1)) + 1")
+@query("SELECT p AS threshold, (SELECT count(*) FROM lab WHERE label = 1) AS n_positive FROM (SELECT p, row_number() OVER (ORDER BY p) AS r FROM lab WHERE label = 1) WHERE r = floor((1 - 0.9) * (SELECT count(*) FROM lab WHERE label = 1)) + 1", keep=True)
 def quantile_threshold(w) -> DataFrame:
     return decide.quantile_threshold(_scored(w), 0.9)
 
@@ -444,6 +451,7 @@ coalesce(sibp_max, 0) AS sibp_max, round(coalesce(sibp_mean, 0), 6) AS sibp_mean
 so2 AS (SELECT *, max(p2) OVER e AS p2_max, sum(p2) OVER e AS p2_sum, sum((p2 >= 0.5)::INT) OVER e AS p2_n50, max(CASE WHEN p2_rank = 2 THEN p2 END) OVER e AS p2_second FROM so1 WINDOW e AS (PARTITION BY source1_entity_id)),
 sym AS (SELECT source1_entity_id, anchor AS x, candidate_entity_id AS y FROM edges UNION SELECT source1_entity_id, candidate_entity_id, anchor FROM edges),
 near AS (SELECT s.source1_entity_id, s.y, max(p2) AS sibp_max, avg(p2) AS sibp_mean, count(*) AS sibp_n FROM sym s JOIN so0 o ON o.source1_entity_id = s.source1_entity_id AND o.candidate_entity_id = s.x WHERE s.x <> s.y GROUP BY 1, 2)""",
+    keep=True,
 )
 def second_order(w) -> DataFrame:
     df = decide.second_order(w.expanded.select(*PAIR, F.least(F.lit(1.0), F.col("score")).alias("p2")), w.edges)
@@ -513,12 +521,12 @@ def dq_extra(w) -> DataFrame:
     return quality.extra_rows(_damaged(w), w.s1.select("entity_id"))
 
 
-@query("SELECT DISTINCT entity_id, id FROM badids WHERE (entity_id, id) NOT IN (SELECT (entity_id, unnest(list_filter(string_split(ids, ','), lambda x: x <> ''))) FROM lists)")
+@query("SELECT DISTINCT entity_id, id FROM badids WHERE (entity_id, id) NOT IN (SELECT (entity_id, unnest(list_filter(string_split(ids, ','), lambda x: x <> ''))) FROM lists)", keep=True)
 def dq_not_subset(w) -> DataFrame:
     return quality.not_candidates(_damaged(w), _lists(w))
 
 
-@query("SELECT count(*) AS n_rows, sum((ids = '')::INT) AS n_empty, sum(len(list_filter(string_split(ids, ','), lambda x: x <> ''))) AS n_ids, max(len(list_filter(string_split(ids, ','), lambda x: x <> ''))) AS most_ids FROM bad")
+@query("SELECT count(*) AS n_rows, sum((len(list_filter(string_split(ids, ','), lambda x: x <> '')) = 0)::INT) AS n_empty, sum(len(list_filter(string_split(ids, ','), lambda x: x <> ''))) AS n_ids, max(len(list_filter(string_split(ids, ','), lambda x: x <> ''))) AS most_ids FROM bad")
 def dq_statistics(w) -> DataFrame:
     return quality.list_statistics(_damaged(w))
 
