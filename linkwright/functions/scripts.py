@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NOT_ASCII = r"[^\x00-\x7F]"
 
@@ -46,7 +47,7 @@ def romanise(text: str) -> str:
     return words
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def romanised(texts: pd.Series) -> pd.Series:
     return texts.map(romanise, na_action="ignore")
 
