@@ -141,7 +141,7 @@ ALONE = [
 def rules() -> list[Rule]:
     """All rules by falling priority; ties in the order of the tables, specific licences before general ones."""
     made = [Rule(label, priority - (label in ("gpl", "lgpl", "agpl", "cc-by")), score, keyword, form.format(name)) for priority, score, form in FORMS for label, keyword, name in NAMES]
-    named = [Rule(label, 20, 0.5, keyword, rf"\b{name}\b") for label, keyword, name in NAMES if label.startswith(("cc-", "cc0", "gpl-", "lgpl-", "agpl-", "apache-2"))]
+    named = [Rule(label, 20, 0.5, keyword, rf"\b{name}\b") for label, keyword, name in NAMES if "licen" in name or label.startswith(("cc-", "cc0"))]  # names that say it themselves
     return sorted([*ALONE, *made, *named], key=lambda r: -r.priority)
 
 

@@ -56,12 +56,19 @@ _DOT_WORD = r"(?:dot|punto|punkt|point)"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s{{1,9}}dot\s{{1,9}})"
 DIGIT_WORD = re.compile(rf"\b{_DIGIT}\b", re.I)
 DIGIT_RUN = re.compile(rf"\b{_DIGIT}(?:[\s-]{{1,9}}{_DIGIT})+\b|\b{_DIGIT}(?={_DOT})|(?<=dot ){_DIGIT}\b", re.I)
-AT_SIGN = re.compile(rf"{_OPEN}(?:at|arroba|@){_CLOSE}|\s{{1,9}}(?:at|arroba)\s{{1,9}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9])", re.I)
+# Top domains that end an address whose @ is a plain word; ones that are common words are left out.
+TOP = "com|net|org|edu|gov|mil|int|info|biz|io|ai|dev|app|eu|uk|de|fr|es|nl|ca|au|ch|br|cn|jp|pl|ru|se|mx|ar|co"
+_LABELS = rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,4}}{_DOT}(?:{TOP})\b"
+_LOCAL = r"(?<=[0-9._%+-])"  # before a plain word and real dots: a local part that is no word
+AT_SIGN = re.compile(
+    rf"{_OPEN}(?:at|arroba|@){_CLOSE}|\s{{1,9}}(?:at|arroba)\s{{1,9}}(?={_LABELS})|{_LOCAL}\s{{1,9}}at\s{{1,9}}(?=(?:[A-Za-z0-9-]{{1,63}}\.){{1,4}}(?:{TOP})\b)", re.I
+)
 DOT_SIGN = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.I)
 PLUS_SIGN = re.compile(rf"\bplus\s{{1,9}}(?=[0-9(]|{_DIGIT}\b)", re.I)
 # What a text must hold for a rewrite to be possible at all; these are quick to look for.
 MAYBE_ODD = re.compile("[\xad\u0131\u0261\u0370-\U0010ffff]")
 MAYBE_IP = re.compile(r"[0-9]\.[0-9]+\.")
+PLAIN_AT = re.compile(r"[0-9._%+-]\sat\s")
 TELL_DOT, TELL_AT = ("dot", "punto", "punkt", "point"), re.compile(r"[\[({<]\s{0,9}(?:at|arroba|@|\.)\s{0,9}[\])}>]", re.I)
 
 
@@ -157,7 +164,7 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), table[m[0]]) for m in MAYBE_ODD.finditer(text) if m[0] in table]
     low = text.lower()
     dots = any(map(low.__contains__, TELL_DOT))
-    if dots or TELL_AT.search(text):
+    if dots or TELL_AT.search(text) or PLAIN_AT.search(low):
         found += [(*m.span(), "@") for m in AT_SIGN.finditer(text)]
         found += [(*m.span(), ".") for m in DOT_SIGN.finditer(text)]
     runs = list(DIGIT_RUN.finditer(text)) if spells_digits(low) else []
