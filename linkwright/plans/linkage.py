@@ -24,7 +24,7 @@ def written(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Settings:
-    """What the reference's command lines set."""
+    """What a run may set."""
 
     top_k: int = 50
     reverse_k: int = 3
