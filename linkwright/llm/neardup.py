@@ -2,14 +2,16 @@
 
 A text's set holds its distinct shingles of ``words`` words (A-Z in lower case, split at ASCII white space); two texts are
 linked if the Jaccard similarity of their sets is at least ``threshold``. Texts with equal sets are one node from the start.
-Nodes get ``bands * rows`` minima of universal hash functions; those that agree on all rows of a band share a bucket, so a
-pair at the threshold of 0.8 shares none with a probability of 2e-7. Within a bucket no pairs are listed:
+Nodes get the minima of ``bands * rows + extra`` universal hash functions; those that agree on all rows of a band share a
+bucket, so a pair at the threshold of 0.8 shares none with a probability of 2e-7. The signature, a byte of each minimum,
+estimates the similarity. Within a bucket no pairs are listed:
 
 1. every member is compared with the bucket's smallest node, first by signature, then on the full sets;
 2. components of these links are taken; a bucket whose members lie in one component is done;
 3. in the other buckets the members outside the largest component are compared with all of another component, in blocks of
-   bounded size and by signature, and what may reach the threshold is compared on the full sets;
-4. the new links join components.
+   bounded size and by signature; each member's likeliest partners are compared on the full sets, and their links join
+   components;
+4. what is still apart is compared on the full sets with every partner that may reach the threshold.
 
 Every pair that shares a bucket is so either compared or known to be connected, at no cap on a bucket's size.
 
@@ -26,14 +28,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from linkwright.llm.common import map_text, written
 from linkwright.llm.components import components
 
-BANDS, ROWS, SEED = 40, 5, 11
+BANDS, ROWS, EXTRA, SEED = 40, 5, 400, 11
 WORDS, THRESHOLD = 5, 0.8
-SLACK = 0.14  # five standard deviations of a signature's estimate at 0.8
+DEVIATIONS = 5  # of a signature's estimate, by which a pair may lie below the threshold and is still compared on the full sets
 BLOCK = 1024  # members of a bucket on a side of a comparison
+LIKELIEST = 2  # partners a member and block in step 3
 CACHE = 500_000
 
 
@@ -64,25 +68,26 @@ def shingles(text: str | None, words: int, known: dict) -> np.ndarray:
 
 def hash_functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
+    return rng.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, count, dtype=np.uint32)
 
 
 def minima(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The minimum of (a * x + b) mod 2**64, upper half, over x, for each function."""
-    least = np.full(len(a), np.iinfo(np.uint64).max)
+    """The minimum of (a * x + b) mod 2**32 over x, the upper half of a shingle's hash, for each function."""
+    x = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(own), 512):
-            h = np.multiply.outer(a, own[at : at + 512])
+        for at in range(0, len(x), 128):
+            h = np.multiply.outer(a, x[at : at + 128])
             h += b[:, None]
             np.minimum(least, h.min(1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least
 
 
-def signed(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+def signed(docs: DataFrame, words: int, bands: int, rows: int, extra: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, n_shingles, set_id (a digest of the set), keys (a bucket for each band), signature (a byte a function)."""
 
     def make():
-        known, (a, b) = Words(), hash_functions(bands * rows, seed)
+        known, (a, b) = Words(), hash_functions(bands * rows + extra, seed)
         band = np.arange(bands, dtype=np.uint64)
 
         def work(texts):
@@ -97,8 +102,8 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id_col
                 with np.errstate(over="ignore"):
                     key = (band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                     for r in range(rows):
-                        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + least[r::rows]
-                out.append((len(own), digest, key.view(np.int64), (least & np.uint32(255)).astype(np.uint8).tobytes()))
+                        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + least[r : bands * rows : rows]
+                out.append((len(own), digest, key.view(np.int64), (least >> np.uint32(8) & np.uint32(255)).astype(np.uint8).tobytes()))
             return out
 
         return work
@@ -148,62 +153,101 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, i
     return written(both.mapInArrow(run, schema).distinct())
 
 
-def across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, bands: int, least: float) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and have signatures that agree enough."""
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, component of the members of buckets with several components, and the component that most of them have."""
     one = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Of each bucket with several components: its largest, and how many members lie in it and outside.
     share = one.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = share.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     main = main.select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns"))
-    members = one.join(main, "key")
+    return one.join(main, "key")
+
+
+def across(members: DataFrame, nodes: DataFrame, least: float, likeliest: int | None) -> DataFrame:
+    """Pairs of nodes that share a bucket, lie in different components and have signatures that agree enough.
+
+    ``members``: open buckets. ``likeliest``: how many partners a member has in a block; all of them without it.
+    """
     salt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = members.where("component <> main").select("key", "node", "component", salt("rows").alias("row"), every("columns").alias("column"), F.lit(True).alias("outer"))
     right = members.select("key", "node", "component", every("rows").alias("row"), salt("columns").alias("column"), F.lit(False).alias("outer"))
     tiles = left.unionByName(right).join(nodes.select("node", "signature", "keys"), "node")
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def compare(frame):
-        import pandas as pd
-
-        sign = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
-        keys = np.stack(frame["keys"].to_numpy())
-        key = frame["key"].iloc[0]
-        node, part, outer = frame["node"].to_numpy(), frame["component"].to_numpy(), frame["outer"].to_numpy()
-        inner = np.flatnonzero(~outer)
+    node_type = to_arrow_type(nodes.schema["node"].dataType)
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole blocks, which stand one after the other."""
+        size = rows.num_rows
+        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(size, -1)
+        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(size, -1)
+        node, part, outer = (rows[c].to_numpy() for c in ("node", "component", "outer"))
+        place = [rows[c].to_numpy() for c in ("key", "row", "column")]
+        edges = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in place], axis=0), [True]]))
         xs, ys = [], []
-        for i in np.flatnonzero(outer):
-            near = inner[(part[inner] != part[i])]
-            near = near[(sign[near] == sign[i]).mean(1) >= least]
-            # A pair is listed in the first band that it shares only.
-            near = near[keys[i, (keys[near] == keys[i]).argmax(1)] == key]
-            xs.append(np.maximum(node[near], node[i]))
-            ys.append(np.minimum(node[near], node[i]))
-        return pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)} if xs else {"x": node[:0], "y": node[:0]})
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            own = outer[begin:end]
+            inner = np.flatnonzero(~own) + begin
+            for i in np.flatnonzero(own) + begin:
+                near = inner[part[inner] != part[i]]
+                agree = (sign[near] == sign[i]).mean(1)
+                near, agree = near[agree >= least], agree[agree >= least]
+                if likeliest:
+                    near = near[np.lexsort((node[near], -agree))[:likeliest]]
+                elif len(near):  # a pair is listed in the first band that it shares only
+                    near = near[keys[i, (keys[near] == keys[i]).argmax(1)] == place[0][i]]
+                if len(near):
+                    xs.append(np.maximum(node[near], node[i]))
+                    ys.append(np.minimum(node[near], node[i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else node[:0], node_type) for c in (xs, ys)], names=["x", "y"])
 
-    return tiles.groupBy("key", "row", "column").applyInPandas(compare, f"x {kind}, y {kind}").distinct()
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            place = [rows[c].to_numpy() for c in ("key", "row", "column")]
+            changes = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
+            cut = int(changes[-1]) if len(changes) else 0  # the last block may go on
+            if cut:
+                yield compare(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield compare(held)
+
+    dealt = tiles.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column")
+    return dealt.select("key", "row", "column", "node", "component", "outer", "signature", "keys").mapInArrow(run, nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).schema).distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component; a component's smallest node has none) after more links, which are taken between components."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    joined = links.join(end("x"), "x", "left").join(end("y"), "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
+    outer = components(joined, "a", "b")
+    moved = labels.join(outer.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(outer.select("node", "component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, extra: int = EXTRA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (whether that is its own)."""
-    every = written(signed(docs, words, bands, rows, seed, id_col, text_col))
+    every = written(signed(docs, words, bands, rows, extra, seed, id_col, text_col))
     usable = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
     placed = nodes.select("node", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = written(placed.join(shared, "key"))
-    estimate = threshold - SLACK
+    estimate = threshold - DEVIATIONS * (threshold * (1 - threshold) / (bands * rows + extra)) ** 0.5
     stars = buckets.where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y")).distinct()
     links = confirmed(alike(stars, nodes, estimate), docs, words, threshold, id_col, text_col)
     labels = components(links, "x", "y")
-    more = confirmed(across(buckets.select("key", "node"), labels, nodes, bands, estimate), docs, words, threshold, id_col, text_col)
-    # Links between components, as links between their smallest nodes.
-    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    joined = more.join(end("x"), "x", "left").join(end("y"), "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
-    outer = components(joined, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("outer"))
-    # Nodes, and sets that share an id, get their component; the node itself where it has no link.
-    final = nodes.select("set_id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    final = final.join(outer, "component", "left").select("set_id", F.coalesce("outer", "component").alias("component_id"))
+    apart = buckets.select("key", "node")
+    for likeliest in (LIKELIEST, None):
+        members = written(open_buckets(apart, labels))
+        apart = members.select("key", "node")  # a bucket that is done stays done
+        more = confirmed(across(members, nodes, estimate, likeliest), docs, words, threshold, id_col, text_col)
+        if not more.isEmpty():
+            labels = merged(labels, more)
+    final = nodes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
