@@ -11,7 +11,8 @@ estimates the similarity. Within a bucket no pairs are listed:
 3. in the other buckets the members outside the largest component are compared with all of another component, in blocks of
    bounded size and by signature; each member's likeliest partners are compared on the full sets, and their links join
    components;
-4. what is still apart is compared on the full sets with every partner that may reach the threshold.
+4. what is still apart is compared on the full sets with every partner that may reach the threshold, block by block, where
+   the texts of those that have such partners are brought; only links leave a block.
 
 Every pair that shares a bucket is so either compared or known to be connected, at no cap on a bucket's size.
 
@@ -25,10 +26,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from linkwright.llm.common import map_text, written
 from linkwright.llm.components import components
@@ -162,42 +163,46 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return one.join(main, "key")
 
 
-def across(members: DataFrame, nodes: DataFrame, least: float, likeliest: int | None) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and have signatures that agree enough.
-
-    ``members``: open buckets. ``likeliest``: how many partners a member has in a block; all of them without it.
-    """
+def tiles_of(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blocks of open buckets: those outside the main component (``outer``) against all, at most BLOCK or so on a side."""
     salt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = members.where("component <> main").select("key", "node", "component", salt("rows").alias("row"), every("columns").alias("column"), F.lit(True).alias("outer"))
     right = members.select("key", "node", "component", every("rows").alias("row"), salt("columns").alias("column"), F.lit(False).alias("outer"))
-    tiles = left.unionByName(right).join(nodes.select("node", "signature", "keys"), "node")
-    node_type = to_arrow_type(nodes.schema["node"].dataType)
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        """The pairs of whole blocks, which stand one after the other."""
-        size = rows.num_rows
-        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(size, -1)
-        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(size, -1)
-        node, part, outer = (rows[c].to_numpy() for c in ("node", "component", "outer"))
-        place = [rows[c].to_numpy() for c in ("key", "row", "column")]
-        edges = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in place], axis=0), [True]]))
-        xs, ys = [], []
-        for begin, end in zip(edges[:-1], edges[1:], strict=True):
-            own = outer[begin:end]
-            inner = np.flatnonzero(~own) + begin
-            for i in np.flatnonzero(own) + begin:
-                near = inner[part[inner] != part[i]]
-                agree = (sign[near] == sign[i]).mean(1)
-                near, agree = near[agree >= least], agree[agree >= least]
-                if likeliest:
-                    near = near[np.lexsort((node[near], -agree))[:likeliest]]
-                elif len(near):  # a pair is listed in the first band that it shares only
-                    near = near[keys[i, (keys[near] == keys[i]).argmax(1)] == place[0][i]]
-                if len(near):
-                    xs.append(np.maximum(node[near], node[i]))
-                    ys.append(np.minimum(node[near], node[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else node[:0], node_type) for c in (xs, ys)], names=["x", "y"])
+    return left.unionByName(right).join(nodes.select("node", "signature", "keys"), "node").select("key", "row", "column", "node", "component", "outer", "signature", "keys")
+
+
+def partners(rows: pa.Table, least: float, likeliest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole blocks, which stand one after the other: rows of pairs in different components whose signatures agree enough.
+
+    ``likeliest``: how many partners a member has in a block; without it all, and a pair in the first band that it shares only.
+    """
+    size = rows.num_rows
+    sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(size, -1)
+    keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(size, -1)
+    node, part, outer = (rows[c].to_numpy() for c in ("node", "component", "outer"))
+    place = [rows[c].to_numpy() for c in ("key", "row", "column")]
+    edges = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in place], axis=0), [True]]))
+    one, two = [], []
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        own = outer[begin:end]
+        inner = np.flatnonzero(~own) + begin
+        for i in np.flatnonzero(own) + begin:
+            near = inner[part[inner] != part[i]]
+            agree = (sign[near] == sign[i]).mean(1)
+            near, agree = near[agree >= least], agree[agree >= least]
+            if likeliest:
+                near = near[np.lexsort((node[near], -agree))[:likeliest]]
+            elif len(near):
+                near = near[keys[i, (keys[near] == keys[i]).argmax(1)] == place[0][i]]
+            if len(near):
+                one.append(np.full(len(near), i))
+                two.append(near)
+    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, int), np.zeros(0, int))
+
+
+def by_block(tiles: DataFrame, work, schema) -> DataFrame:
+    """``work`` (a table of whole blocks to a record batch) over all blocks, which are dealt and sorted, not collected."""
 
     def run(batches):
         held = None
@@ -210,13 +215,53 @@ def across(members: DataFrame, nodes: DataFrame, least: float, likeliest: int |
             changes = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
             cut = int(changes[-1]) if len(changes) else 0  # the last block may go on
             if cut:
-                yield compare(rows.slice(0, cut))
+                yield from work(rows.slice(0, cut)).to_batches()
             held = rows.slice(cut)
         if held is not None:
-            yield compare(held)
+            yield from work(held).to_batches()
+
+    return tiles.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column").mapInArrow(run, schema)
+
+
+def pair_table(rows: pa.Table, one: np.ndarray, two: np.ndarray) -> pa.Table:
+    a, b = rows["node"].take(pa.array(one)), rows["node"].take(pa.array(two))
+    swap = pc.less(a, b)
+    return pa.table({"x": pc.if_else(swap, b, a), "y": pc.if_else(swap, a, b)})
+
+
+def across(members: DataFrame, nodes: DataFrame, least: float, likeliest: int) -> DataFrame:
+    """Likely pairs (x, y) of nodes that share an open bucket and lie in different components."""
+    schema = nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).schema
+    return by_block(tiles_of(members, nodes), lambda rows: pair_table(rows, *partners(rows, least, likeliest)), schema).distinct()
+
+
+def rest(members: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Every link between different components of open buckets. Texts go to the blocks where they have a partner at all."""
+    tiles = tiles_of(members, nodes)
+
+    def involved(rows: pa.Table) -> pa.Table:
+        return rows.take(pa.array(np.unique(np.concatenate(partners(rows, least, None)))))
+
+    some = written(by_block(tiles, involved, tiles.schema))
+    ids = written(some.select(F.col("node").alias("id")).distinct())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    share = round(threshold * 100)
+
+    def settle(rows: pa.Table) -> pa.Table:
+        one, two = partners(rows, least, None)
+        known, sets, keep = Words(), {}, np.zeros(len(one), bool)
+        for n, pair in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+            for i in pair:
+                if i not in sets:
+                    sets[i] = shingles(rows["text"][i].as_py(), words, known)
+            a, b = (sets[i] for i in pair)
+            small, large = sorted((len(a), len(b)))
+            common = len(np.intersect1d(a, b, assume_unique=True)) if 100 * small >= share * large else 0
+            keep[n] = bool(common) and 100 * common >= share * (small + large - common)
+        return pair_table(rows, one[keep], two[keep])
 
-    dealt = tiles.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column")
-    return dealt.select("key", "row", "column", "node", "component", "outer", "signature", "keys").mapInArrow(run, nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).schema).distinct()
+    schema = nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).schema
+    return written(by_block(some.join(texts, F.col("node") == F.col("id")).drop("id"), settle, schema).distinct())
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,13 +285,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     stars = buckets.where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y")).distinct()
     links = confirmed(alike(stars, nodes, estimate), docs, words, threshold, id_col, text_col)
     labels = components(links, "x", "y")
-    apart = buckets.select("key", "node")
-    for likeliest in (LIKELIEST, None):
-        members = written(open_buckets(apart, labels))
-        apart = members.select("key", "node")  # a bucket that is done stays done
-        more = confirmed(across(members, nodes, estimate, likeliest), docs, words, threshold, id_col, text_col)
+    members = written(open_buckets(buckets.select("key", "node"), labels))
+    for step in (3, 4):
+        if step == 3:
+            more = confirmed(across(members, nodes, estimate, LIKELIEST), docs, words, threshold, id_col, text_col)
+        else:
+            more = rest(members, nodes, docs, estimate, words, threshold, id_col, text_col)
         if not more.isEmpty():
             labels = merged(labels, more)
+        if step == 3:  # a bucket that is done stays done
+            members = written(open_buckets(members.select("key", "node"), labels))
     final = nodes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
