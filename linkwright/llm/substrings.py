@@ -40,6 +40,7 @@ LENGTH, TRIGGER, MODULUS = 400, 8, 64
 NEAR = 160  # suffixes shorter than this share length - NEAR bytes after the trigger
 HOT = 100_000  # contexts that one shard sorts at the most
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = pow(0x9E3779B97F4A7C15, -1, 2**64)
 ROW = "key bigint, context bigint, at int, low int, high int"
 
 
@@ -52,13 +53,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def rolling(data: bytes) -> np.ndarray:
     """A hash of the TRIGGER bytes at each place (those beyond the end count as zero)."""
-    b = np.frombuffer(data + bytes(TRIGGER), np.uint8)
-    n = len(data)
-    x = np.zeros(n, np.uint64)
-    for i in range(TRIGGER):
-        x |= b[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    x = np.ndarray((len(data),), "<u8", data + bytes(TRIGGER), strides=(1,)) + MULTIPLIER
     with np.errstate(over="ignore"):
-        return mix(x + MULTIPLIER)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
 
 
 class Text:
@@ -67,17 +68,14 @@ class Text:
     def __init__(self, data: bytes) -> None:
         self.data, self.n = data, len(data)
         self.m = rolling(data)
-        whole = self.m[: max(0, self.n - TRIGGER + 1)]
-        self.triggers = np.flatnonzero(whole % np.uint64(MODULUS) == 0)
+        self.triggers = np.flatnonzero(self.m[: max(0, self.n - TRIGGER + 1)] < np.uint64(2**64 // MODULUS))
         # Sums of mixed 8-byte blocks with powers, for each residue of the place modulo 8.
         blocks = -(-self.n // 8) + 1
-        powers = np.full(blocks, 0, np.uint64)
+        self.sums = np.zeros((blocks + 1, 8), np.uint64)
+        self.sums[1:].reshape(-1)[: self.n] = self.m
         with np.errstate(over="ignore"):
-            powers = np.multiply.accumulate(np.full(blocks, MULTIPLIER, np.uint64))
-            padded = np.zeros(blocks * 8, np.uint64)
-            padded[: self.n] = self.m
-            self.sums = np.vstack([np.zeros((1, 8), np.uint64), np.cumsum(padded.reshape(blocks, 8) * powers[:, None], axis=0, dtype=np.uint64)]).ravel()
-        self.inverse = pow(int(MULTIPLIER), -1, 2**64)
+            self.sums[1:] *= powers_of(int(MULTIPLIER), blocks + 1)[1:, None]
+            self.sums = np.cumsum(self.sums, axis=0, dtype=np.uint64).ravel()
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Hashes of substrings within the text; lengths are at least 8."""
@@ -89,7 +87,7 @@ class Text:
         with np.errstate(over="ignore"):
             total = self.sums[start + whole] - self.sums[start]
             # Sums start at the block of their first byte; dividing by that power makes them comparable.
-            scale = powers_of(self.inverse, int(start.max()) // 8 + 2)
+            scale = powers_of(INVERSE, int(start.max()) // 8 + 2)
             total *= scale[start // 8 + 1]
             return mix(total ^ mix(self.m[start + length - 8] + length.astype(np.uint64)))  # the last 8 bytes cover the rest
 
@@ -109,7 +107,8 @@ def powers_of(base: int, count: int) -> np.ndarray:
 def rows_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     """(key, context, at, low, high) of each trigger of a text, and of each string without one (low = -1).
 
-    A row stands for the strings that start l bytes before ``at``, low <= l < high, and fit in the text.
+    A row stands for the strings that start l bytes before ``at``, low <= l < high, and fit in the text; with low = -2 for a
+    run of ``high`` strings up to ``at`` that the text itself repeats.
     """
     n = len(data)
     if n < length:
@@ -134,10 +133,16 @@ def rows_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     starts = np.arange(n - length + 1)
     following = np.append(b, n + length)[np.searchsorted(b, starts)]
     alone = starts[following + TRIGGER > starts + length]
-    own = mix(text.hashes(alone, length))
+    own, first, which, count = np.unique(mix(text.hashes(alone, length)), return_index=True, return_inverse=True, return_counts=True)
+    # A string that the text repeats itself is one row; its places, which are runs, are settled by a row each with a key that
+    # the run's first string has, too.
+    local = np.flatnonzero(count[which] > 1)
+    edge = np.flatnonzero(np.diff(alone[local], prepend=-9, append=n + 9) != 1)
+    begin, size = local[edge[:-1]], np.diff(edge)
+    run = own[which[begin]]
     return (
-        np.concatenate([key, own]), np.concatenate([context, own]), np.concatenate([at, alone]).astype(np.int32),
-        np.concatenate([low, np.full(len(alone), -1)]).astype(np.int32), np.concatenate([high, np.ones(len(alone), int)]).astype(np.int32),
+        np.concatenate([key, own, run]), np.concatenate([context, own, run]), np.concatenate([at, alone[first], alone[begin] + size - 1]).astype(np.int32),
+        np.concatenate([low, np.full(len(own), -1), np.full(len(run), -2)]).astype(np.int32), np.concatenate([high, np.ones(len(own), int), size]).astype(np.int32),
     )
 
 
@@ -319,7 +324,7 @@ def repeated(nodes: DataFrame, length: int) -> DataFrame:
     same = written(same)
     several = same.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
     whole = shared.join(same.where("n > 1").select("key", "context"), ["key", "context"])
-    sure = whole.select("node", "at", F.greatest("low", F.lit(0)).alias("first"), F.when(F.col("low") < 0, 0).otherwise(F.col("high") - 1).alias("last"))
+    sure = whole.select("node", "at", F.greatest("low", F.lit(0)).alias("first"), F.when(F.col("low") == -1, 0).otherwise(F.col("high") - 1).alias("last"))
     open_ = same.join(several, "key").where("row.low >= 0").select("key", "row.*", "contexts")
     open_ = written(open_)
     hot = open_.where(F.col("contexts") > HOT).limit(1).count() > 0
