@@ -55,19 +55,6 @@ def words_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
-class Ids(dict):
-    """Token ids of words, as bytes of unsigned 32-bit numbers, made when first asked for."""
-
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return ids
-
-
 def packed(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -75,19 +62,39 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that a byte-level vocabulary writes bytes with: printable ones as they are, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def token_maker(path: str):
-    """A function from a text to the bytes of its ids, with the end token."""
-    from tokenizers import Tokenizer
+    """A function from texts to the bytes of their ids (unsigned, little-endian, 32 bits), each with the end token.
+
+    A byte-level tokenizer splits a text into words before all else, so a word goes through its model once and is known
+    from then on; texts that its splitting isn't written down for here, and other tokenizers, take the whole way.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known, split, end = Ids(tokenizer), words_pattern().findall, packed([END])
-
-    def ids_of(text: str | None) -> bytes:
-        text = text or ""
-        if NOT_LATIN.search(text):
-            return packed(tokenizer.encode(text, add_special_tokens=False).ids) + end
-        return b"".join(map(known.__getitem__, split(text))) + end
+    step, end = tokenizer.pre_tokenizer, packed([END])
+    by_word = isinstance(step, pre_tokenizers.ByteLevel) and step.use_regex and not step.add_prefix_space and tokenizer.normalizer is None
+    known: dict[str, bytes] = {}
+    split, letters, model = words_pattern().findall, byte_letters(), tokenizer.model
+
+    def whole(text: str) -> bytes:
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def ids_of(texts: list[str | None]) -> list[bytes]:
+        texts = [x or "" for x in texts]
+        words = [split(t) if by_word and not NOT_LATIN.search(t) else None for t in texts]
+        if len(known) > CACHE:
+            known.clear()
+        for w in set().union(*filter(None, words)) - known.keys():
+            known[w] = packed([x.id for x in model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))])
+        return [(whole(t) if w is None else b"".join(map(known.__getitem__, w))) + end for t, w in zip(texts, words, strict=True)]
 
     return ids_of
 
@@ -107,8 +114,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
 
         def work(texts):
             out = []
-            for text in texts:
-                data = ids_of(text)
+            for data in ids_of(texts):
                 own = []
                 for start, length in cut(len(data) // 4, capacity):
                     part = data[4 * start : 4 * (start + length)]
