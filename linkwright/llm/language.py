@@ -31,7 +31,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE, MAX_LANGUAGES = 60, 200
 LEXICON_LEAST = 3  # a word is a feature of its own from so many places in the sample
 SEQUENCE, ROUNDS, STEP, DECAY = 24, 40, 0.5, 1e-4
-CACHE = 400_000  # words whose emissions a task keeps
+CACHE = 100_000  # words whose emissions a task keeps
 
 
 def features(word: str) -> list[str]:

@@ -39,7 +39,7 @@ WORDS, THRESHOLD = 5, 0.8
 DEVIATIONS = 5  # of a signature's estimate, by which a pair may lie below the threshold and is still compared on the full sets
 BLOCK = 1024  # members of a bucket on a side of a comparison
 LIKELIEST = 2  # partners a member and block in step 3
-CACHE = 500_000
+CACHE = 150_000
 
 
 class Words(dict):
