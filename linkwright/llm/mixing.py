@@ -8,6 +8,7 @@ so the schedule repeats every ``period`` slots; one period, a table whose size d
 by an ``aggregate`` over slots, and block j of a source lies in the period j div q at the place of block j mod q.
 
 The mix lasts as long as every source has blocks (``in_mix``); rows beyond that keep their slot but are not in the mix.
+``continued`` goes on after that without the sources that have run out, so that a rare source ends nothing.
 
 Defined results: a null source is a source of its own, ``""`` another; repeated rows and ids get places of their own; a
 null id sorts first; sources without rows or with no positive weight have no slots, and rows of sources that the given
@@ -104,6 +105,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
     return docs.join(F.broadcast(last), F.col(source_col).cast("string").eqNullSafe(F.col("_of"))).where(key <= F.col("_last")).select(*docs.columns)
 
 
+def continued(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """All documents in the order of the mix, with their own columns; only sources that given weights leave out are not there.
+
+    A source that has run out leaves the schedule: its slots lapse and the others go on at their weights until every block is
+    placed. Texts pass one shuffle to their ranks and one to the order, both dealt by keys that a hot source spreads over.
+    """
+    placed = mix(docs, id_col=id_col, source_col=source_col, **options).where(F.col("_slot").isNotNull())
+    return placed.orderBy("_slot", "_place").select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """What the query op2 returns: doc_id, source, block, slot, place, in_mix."""
     out = mix(docs.select("doc_id", "source"))

@@ -180,6 +180,16 @@ def test_mixed_documents_are_those_in_the_mix(spark):
     assert {r["doc_id"] for r in mixing.mixed(docs).collect()} == want and 0 < len(want) <= docs.count()
 
 
+def test_a_rare_source_ends_no_mix(spark):
+    rows = [(i, "a" if i % 3 else f"s{i % 5}") for i in range(12_000)] + [(20_000, None), (20_001, "rare"), (20_001, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    assert mixing.mix(docs).where("_in_mix").count() < len(rows)
+    out = [tuple(r) for r in corpus_pipeline.balance(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted(rows, key=str)
+    slots = {(r["doc_id"], r["source"]): r["_slot"] for r in mixing.mix(docs).collect()}
+    assert [slots[r] for r in out] == sorted(slots[r] for r in out)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
