@@ -32,12 +32,13 @@ class Rule(NamedTuple):
     score: float
     keyword: str  # the text must hold it
     pattern: str  # over words that stand one space apart
+    also: tuple[str, ...] = ()  # and one of these, if there are any
 
 
 # Label, keyword, the licence's names as patterns over words. Where no keyword is given, see SEVERAL.
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat|x11)"),
-    ("mit-0", "mit", r"mit (?:0|no attribution)"),
+    ("mit", "", r"(?:mit|expat|x11)"),
+    ("mit-0", "mit ", r"mit (?:0|no attribution)"),
     ("apache-2", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?1 1"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?1 0"),
@@ -55,7 +56,7 @@ NAMES = [
     ("lgpl", "", r"(?:gnu (?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl)"),
     ("agpl-3", "", r"(?:gnu affero general public licen[cs]e|affero gpl|gnu agpl|agpl)(?: version| v)? ?v?3(?: 0)?"),
     ("agpl", "", r"(?:gnu affero general public licen[cs]e|affero gpl|gnu agpl|agpl)"),
-    ("gfdl", "doc", r"(?:gnu free documentation licen[cs]e|gfdl)"),
+    ("gfdl", "", r"(?:gnu free documentation licen[cs]e|gfdl)"),
     ("mpl-1.1", "", r"(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?1 1"),
     ("mpl-2", "", r"(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?2(?: 0)?"),
     ("epl-1", "", r"(?:eclipse public licen[cs]e|epl)(?: version| v)? ?1(?: 0)?"),
@@ -102,17 +103,18 @@ NAMES = [
 ]
 # Keywords of licences whose names share none; one of them has to be there.
 SEVERAL = {
+    "mit": ("mit", "expat", "x11"), "gfdl": ("gfdl", "free documentation"),
     "gpl": ("gpl", "general public"), "lgpl": ("lgpl", "general public"), "agpl": ("agpl", "affero"), "mpl": ("mpl", "mozilla"), "epl": ("epl", "eclipse"),
     "eupl": ("eupl", "european union"), "cddl": ("cddl", "common development"), "wtfpl": ("wtfpl", "what the fuck"), "python": ("python software", "psf licen"),
-    "cc": ("cc by", "creative commons"), "cc0": ("cc0", "cc zero", "creative commons zero"),
+    "cc": ("cc by", "cc attribution", "creative commons"), "cc0": ("cc0", "cc zero", "creative commons zero"),
 }
-# How a licence is named; {} is the name. Priority, score, pattern.
+# How a licence is named; {} is the name. Priority, score, literals of which each match holds one, pattern.
 FORMS = [
-    (70, 0.95, r"(?:licen[cs]ed|released|distributed|available|provided|published|shared|covered|redistributable|free) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: international)?(?: licen[cs]e)?\b"),
-    (60, 0.9, r"(?:subject to|governed by|in accordance with|in compliance with|accept(?:ed)?|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: licen[cs]e)?\b"),
-    (50, 0.8, r"licen[cs]e (?:is )?(?:the )?{}(?: licen[cs]e)?\b"),
-    (40, 0.7, r"(?:the )?{} licen[cs]e[ds]?\b"),
-    (30, 0.6, r"dual licen[cs]ed (?:under|with) (?:the )?(?:[a-z0-9]+ ){{0,4}}(?:and|or) (?:the )?{}\b"),
+    (70, 0.95, (" under ",), r"(?:licen[cs]ed|released|distributed|available|provided|published|shared|covered|redistributable|free) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: international)?(?: licen[cs]e)?\b"),
+    (60, 0.9, ("subject to", "governed by", "accordance with", "compliance with", "accept", "according to"), r"(?:subject to|governed by|in accordance with|in compliance with|accept(?:ed)?|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: licen[cs]e)?\b"),
+    (50, 0.8, ("licen",), r"licen[cs]e (?:is )?(?:the )?{}(?: licen[cs]e)?\b"),
+    (40, 0.7, ("licen",), r"(?:the )?{} licen[cs]e[ds]?\b"),
+    (30, 0.6, ("licen",), r"dual licen[cs]ed (?:under|with) (?:the )?(?:[a-z0-9]+ ){{0,4}}(?:and|or) (?:the )?{}\b"),
 ]
 # Rules that no form makes.
 ALONE = [
@@ -127,8 +129,8 @@ ALONE = [
     Rule("bsd-3-clause", 85, 0.9, "neither the name", r"neither the name of .{1,120} nor the names of its contributors may be used"),
     Rule("bsd-2-clause", 75, 0.8, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     Rule("isc", 85, 0.9, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Rule("gpl-3-or-later", 86, 1.0, "free software", r"gnu general public licen[cs]e .{0,80}either version 3 of the licen[cs]e or .{0,20}any later version"),
-    Rule("gpl-2-or-later", 86, 1.0, "free software", r"gnu general public licen[cs]e .{0,80}either version 2 of the licen[cs]e or .{0,20}any later version"),
+    Rule("gpl-3-or-later", 86, 1.0, "general public", r"gnu general public licen[cs]e .{0,80}either version 3 of the licen[cs]e or .{0,20}any later version"),
+    Rule("gpl-2-or-later", 86, 1.0, "general public", r"gnu general public licen[cs]e .{0,80}either version 2 of the licen[cs]e or .{0,20}any later version"),
     Rule("unlicense", 85, 0.95, "unencumbered", r"this is free and unencumbered software released into the public domain"),
     Rule("public-domain", 45, 0.7, "public domain", r"(?:released|dedicated|placed|is) (?:in|into|to) the public domain"),
     Rule("beerware", 85, 0.9, "beer", r"the beer ?ware licen[cs]e"),
@@ -140,15 +142,11 @@ ALONE = [
 
 def rules() -> list[Rule]:
     """All rules by falling priority; ties in the order of the tables, specific licences before general ones."""
-    made = [Rule(label, priority - (label in ("gpl", "lgpl", "agpl", "cc-by")), score, keyword, form.format(name)) for priority, score, form in FORMS for label, keyword, name in NAMES]
+    made = [Rule(label, priority - (label in ("gpl", "lgpl", "agpl", "cc-by")), score, keyword, form.format(name), also) for priority, score, also, form in FORMS for label, keyword, name in NAMES]
     named = [Rule(label, 20, 0.5, keyword, rf"\b{name}\b") for label, keyword, name in NAMES if "licen" in name or label.startswith(("cc-", "cc0"))]  # names that say it themselves
     return sorted([*ALONE, *made, *named], key=lambda r: -r.priority)
 
 
-#: A text without any of these has no rule's keyword in it; each is searched for at the speed of memory.
-GATES = tuple(x.encode() for x in ("licen", "spdx", "permission", "neither the name", "redistribution", "unencumbered", "public domain", "all rights reserved", "confidential", "copyright", "cc by", "cc0", "cc zero", "creative commons", "gpl", "gnu ", "apache", " under ", "subject to", "governed by", "accordance with", "compliance with", "accept", "according to"))
-
-
 @once
 def scanner() -> tuple:
     every = rules()
@@ -157,8 +155,10 @@ def scanner() -> tuple:
     for i, r in enumerate(every):
         for word in keywords(r):
             by_word.setdefault(word, []).append(i)
+        for word in r.also:
+            by_word.setdefault(word, [])
     for word, which in by_word.items():
-        gate.add_word(word, tuple(which))
+        gate.add_word(word, (word, tuple(which)))
     gate.make_automaton()
     return every, gate, [re.compile(r.pattern) for r in every]
 
@@ -171,7 +171,9 @@ def keywords(rule: Rule) -> tuple[str, ...]:
 def detections(words: str) -> list[tuple[int, int, Rule]]:
     """Detections that are left after suppression, in order of place."""
     every, gate, patterns = scanner()
-    which = sorted({i for _, hit in gate.iter(words) for i in hit})
+    hits = {hit for _, hit in gate.iter(words)}
+    held = {word for word, _ in hits}
+    which = sorted({i for _, own in hits for i in own if not every[i].also or not held.isdisjoint(every[i].also)})
     found = [(m.start(), m.end(), every[i]) for i in which for m in patterns[i].finditer(words)]
     stay: list[tuple[int, int, Rule]] = []
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
@@ -191,10 +193,9 @@ def scan(text: str | None) -> tuple:
         while (at := line.find(key, at + 1)) >= 0:
             base.append((line.count(b" ", 0, at), label))
     labels, score = {label for _, label in base}, 1.0 if base else 0.0
-    if any(g in line for g in GATES):
-        for _, _, rule in detections(line.decode("utf-8", "replace")):
-            labels.add(rule.label)
-            score = max(score, rule.score)
+    for _, _, rule in detections(line.decode("utf-8", "replace")):
+        labels.add(rule.label)
+        score = max(score, rule.score)
     return len(words), sorted(base), sorted(labels), score
 
 

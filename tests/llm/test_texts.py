@@ -120,6 +120,48 @@ def test_hundreds_of_rules_have_keywords_that_their_matches_hold():
     assert len(rules) > 300 and all(licences.keywords(r) for r in rules) and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
 
 
+def spelled(nodes):
+    """Strings that a pattern matches: every branch and every optional part, with and without, once."""
+    out = [""]
+    for op, arg in nodes:
+        name = str(op)
+        if name in ("LITERAL", "NOT_LITERAL"):
+            own = [chr(arg)] if name == "LITERAL" else ["q"]
+        elif name == "IN":
+            own = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif name == "ANY":
+            own = ["q"]
+        elif name == "BRANCH":
+            own = [s for b in arg[1] for s in spelled(b)]
+        elif name == "SUBPATTERN":
+            own = spelled(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, inner = arg
+            own = [s * n for n in {low, max(low, 1)} for s in spelled(inner)]
+        else:
+            own = [""]  # boundaries and looks ahead
+        own = list(dict.fromkeys(own))
+        out = [a + b for a in out for b in own] if len(out) * len(own) <= 2000 else [out[i % len(out)] + own[i % len(own)] for i in range(max(len(out), len(own)))]
+    return out
+
+
+def test_every_alternative_of_a_rule_passes_its_keywords():
+    for rule in licences.rules():
+        for text in spelled(re._parser.parse(rule.pattern)):
+            words = f" {text} "
+            if re.search(rule.pattern, words):
+                assert any(k in words for k in licences.keywords(rule)) and (not rule.also or any(k in words for k in rule.also)), (rule, words)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("this code is epl 2 0", "epl-2"), ("mozilla firefox is mpl 2 0 code", "mpl-2"), ("cddl 1 0", "cddl-1"), ("eupl 1 2", "eupl-1.2"), ("wtfpl", "wtfpl"), ("ncsa", "ncsa"), ("gfdl", "gfdl"), ("the expat license", "mit"),
+     ("released under x11", "mit"), ("cc attribution noncommercial", "cc-by-nc"), ("gnu general public license either version 3 of the license or any later version", "gpl-3-or-later")],
+)
+def test_licences_need_no_word_beside_their_name(text, label):
+    assert label in licences.scan(text)[2]
+
+
 def test_language_learns_and_labels_switches():
     en, de = "the house of the old man stands near the water and the wind blows", "das haus des alten mannes steht nahe dem wasser und der wind weht"
     field = language.train([(en, "en"), (de, "de")] * 5)
