@@ -1,6 +1,7 @@
 """Line-first cleaning of texts (operator 3).
 
-Every line is judged by rules for punctuation, navigation and boilerplate; failing lines are removed, and a document that
+Every line is judged by rules for punctuation, navigation and boilerplate, and short lines without a mark at the end by
+their neighbours too: some in a row are a menu, while a heading stays. Failing lines are removed, and a document that
 loses too much of its text, or keeps too few words, is rejected. Beside that stand base counts of the whole text, of which
 two thresholds reject a document outright.
 
@@ -15,6 +16,7 @@ import re
 from collections import defaultdict
 from itertools import count, islice
 from operator import eq
+from unicodedata import category
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,8 +34,13 @@ MAX_SYMBOLS = 0.25  # symbols a word
 MAX_SHOUTING = 0.5  # share of a line's words in capitals, of lines with at least SHOUT_WORDS
 SHOUT_WORDS = 6
 MAX_SAME_WORD = 0.5  # share of a line's words that follow the same word
+MAX_PUNCTUATION = 0.5  # share of a line's characters that are neither letters, digits nor marks of letters
+MENU_LINES, MENU_WORDS = 4, 4  # a menu: lines in a row, apart from blank ones, of so few words and without a mark at the end
 MAX_LOST = 0.5  # share of a text's word characters that removed lines may hold
 SEPARATORS = frozenset("| » « › ‹ > < / • · – — - ::".split())
+NO_MARK = re.compile(r"[^\W_]\Z")
+#: Scripts without spaces: each letter counts as a word, as else a sentence would be one.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 SEPARATOR = re.compile(r"[|»«›‹<>/•·–—:-]")
 BOILERPLATE = re.compile(
     r"(?i)^\W*(?:accept (?:all )?cookies|all rights reserved|back to top|click here|cookie (?:policy|settings)|copyright\b.{0,40}\b\d{4}"
@@ -42,9 +49,25 @@ BOILERPLATE = re.compile(
 )
 
 
+def punctuated(words: list[str]) -> bool:
+    """Whether punctuation and symbols hold more than their share of a line."""
+    joined = "".join(words)
+    least = (1 - MAX_PUNCTUATION) * len(joined)
+    if 2 * sum(map(str.isalnum, words)) > len(words) and sum(len(w) for w in words if w.isalnum()) >= least:
+        return False  # quick: most words have nothing else
+    return sum(c.isalnum() or category(c)[0] == "M" for c in joined) < least
+
+
+def like_menu(words: list[str]) -> bool:
+    """Whether a line could be an entry of a menu: few words, of which the last ends in a letter or digit."""
+    return len(words) <= MENU_WORDS and NO_MARK.search(words[-1]) is not None and sum(max(1, len(UNSPACED.findall(w))) for w in words) <= MENU_WORDS
+
+
 def line_verdict(line: str, words: list[str]) -> str:
     """'' for a line that stays, else the rule that it breaks. ``words``: those between white space of any kind."""
     n = len(words)
+    if punctuated(words):
+        return "punctuation"
     if SEPARATOR.search(line) and sum(map(SEPARATORS.__contains__, words)) > MAX_SEPARATORS * n:
         return "navigation"
     if n >= 2 and sum(map(line.count, SYMBOLS)) > MAX_SYMBOLS * n:
@@ -94,6 +117,17 @@ def clean(text: str | None) -> tuple:
     lines = text.split("\n")
     seen: set[str] = set()
     stay, n_dup, lost = [], 0, 0
+    menu: list[tuple[int, list[str]]] = []  # the run of entries so far: places in stay, words
+
+    def end_menu() -> int:
+        gone = 0
+        if len(menu) >= MENU_LINES:
+            for at, own in menu:
+                stay[at] = None
+                gone += sum(map(len, own))
+        menu.clear()
+        return gone
+
     for line in lines:
         if own := line.split():
             if line in seen:
@@ -103,14 +137,19 @@ def clean(text: str | None) -> tuple:
             if line_verdict(line, own):
                 lost += sum(map(len, own))
                 continue
+            if like_menu(own):
+                menu.append((len(stay), own))
+            elif menu:
+                lost += end_menu()
         elif line.strip("".join(SPACES)):  # a word of white space of other kinds
             n_dup += line in seen
             seen.add(line)
         stay.append(line)
+    lost += end_menu()
     repeat = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEATED * n
     share = min(1.0, lost / chars) if chars else 0.0
-    return n, chars, sum(map(text.count, SYMBOLS)), n_dup, repeat, failed, share, not failed and share <= MAX_LOST, "\n".join(stay)
+    return n, chars, sum(map(text.count, SYMBOLS)), n_dup, repeat, failed, share, not failed and share <= MAX_LOST, "\n".join(line for line in stay if line is not None)
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,6 +98,17 @@ def test_documents_that_lose_too_much_are_rejected():
     assert kept[7] and kept[8] == good
 
 
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [("!!! ??? ... ;;; ,,,\n((( ))) [[[ ]]] {{{\n====\n'' -- ~~ ++ ==", False), ("Products\nCareers\n\nAbout our team\nContact\nNews\nShop by brand\nHelp", False), ("首页\n产品\n新闻\n招聘\n联系\n关于\n帮助\n登录\n注册\n搜索", False),
+     ("Yes!\nHe came.\nNo?\nThey left at once.\n“Why?”\nNobody knows.", True), ("A heading\nThe river rose in spring, and nobody was surprised by it.", True), ("一つの文章です\n二つの文章です\n三つの文章です\n四つの文章です\n五 六 七 八 九 十 百", True),
+     ("नमस्ते दुनिया यह एक छोटा वाक्य है और यह दूसरा है।", True)],
+)
+def test_lines_of_punctuation_and_menus(text, kept):
+    n, *_, failed, lost, stays, out = lines.clean(text)
+    assert n >= 10 and not failed and stays is kept and (out == text if kept else lost > lines.MAX_LOST)
+
+
 def test_licence_base_places():
     text = "Under the MIT-license. cc by nc; CC BY-NC under the mit license"
     n, base, labels, score = licences.scan(text)
