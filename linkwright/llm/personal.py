@@ -56,9 +56,15 @@ _DOT_WORD = r"(?:dot|punto|punkt|point)"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s{{1,9}}dot\s{{1,9}})"
 DIGIT_WORD = re.compile(rf"\b{_DIGIT}\b", re.I)
 DIGIT_RUN = re.compile(rf"\b{_DIGIT}(?:[\s-]{{1,9}}{_DIGIT})+\b|\b{_DIGIT}(?={_DOT})|(?<=dot ){_DIGIT}\b", re.I)
-# Top domains that end an address whose @ is a plain word; ones that are common words are left out.
+# Top domains that end an address of real dots whose @ is a plain word; ones that are common words are left out.
 TOP = "com|net|org|edu|gov|mil|int|info|biz|io|ai|dev|app|eu|uk|de|fr|es|nl|ca|au|ch|br|cn|jp|pl|ru|se|mx|ar|co"
-_LABELS = rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,4}}{_DOT}(?:{TOP})\b"
+# Words before "dot" that make it a noun, words after it that are no top domain, and top domains that are words
+# of a sentence as well, which end an address only where no word follows.
+NOUN = "the|a|an|this|that|each|every|any|one|which|what|my|our|your|his|her|its|their|another|some|no"
+PROSE = "on|and|or|of|the|that|which|with|was|were|are|has|had|from|where|when|then|but|if|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+BOTH = "in|is|it|to|at|be|no|me|us|so|my|am|by|as|an|do"
+_TOP = rf"(?!(?:{PROSE}|{_DIGIT})\b)(?!(?:{BOTH})\s{{1,9}}\w)[A-Za-z]{{2,63}}\b"
+_LABELS = rf"(?!(?:{NOUN})\s)[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,4}}{_DOT}{_TOP}"
 _LOCAL = r"(?<=[0-9._%+-])"  # before a plain word and real dots: a local part that is no word
 AT_SIGN = re.compile(
     rf"{_OPEN}(?:at|arroba|@){_CLOSE}|\s{{1,9}}(?:at|arroba)\s{{1,9}}(?={_LABELS})|{_LOCAL}\s{{1,9}}at\s{{1,9}}(?=(?:[A-Za-z0-9-]{{1,63}}\.){{1,4}}(?:{TOP})\b)", re.I

@@ -50,6 +50,17 @@ def test_clean_and_extreme_texts_have_nothing_added(text):
     assert added == [] and (text is None or sorted(base) == sorted(personal.identifiers(text)))
 
 
+@pytest.mark.parametrize("address", ["anna at firma dot dk", "x at site dot pt", "bo at site dot tech", "eva at firma dot co dot it", "li at ex dot museum"])
+def test_disguised_addresses_end_in_any_top_domain(address):
+    _, added = personal.find(f"write to {address}, please")
+    assert [f"write to {address}, please"[s:e] for k, s, e in added if k == "email"] == [address]
+
+
+@pytest.mark.parametrize("text", ["We stared at every dot on the map.", "He looked at red dot in the sky.", "They are at version two dot five now.", "Look at this dot and that dot and wait."])
+def test_dots_in_sentences_are_no_addresses(text):
+    assert [s for s in personal.find(text)[1] if s[0] == "email"] == []
+
+
 def test_masks_leave_the_rest():
     text = "mail a@b.co, +1 555 123 4567 or 1.2.3.4."
     assert personal.masked(text) == "mail <EMAIL>, <PHONE> or <IP>." and personal.masked(None) is None and personal.masked("clean") == "clean"
