@@ -273,8 +273,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(outer.select("node", "component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, extra: int = EXTRA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (whether that is its own)."""
+def judged(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, extra: int = EXTRA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``near_duplicates`` returns, and set_id."""
     every = written(signed(docs, words, bands, rows, extra, seed, id_col, text_col))
     usable = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
@@ -298,14 +298,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     final = nodes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "set_id", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (whether that is its own)."""
+    return judged(docs, **options).drop("set_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id. Of rows with equal id and text one stays."""
+    """``docs`` with one document of each group: that with the smallest id. Of rows with equal id and text one stays.
+
+    An id goes as a whole unless its rows differ in ``kept``; then its texts, mostly none, are told apart by their sets.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    stay = docs.join(written(gone), id_col, "left_anti").select(*docs.columns)
+    own = written(judged(docs, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col), "set_id", "kept"))
+    verdict = written(own.groupBy(id_col).agg(F.max("kept").alias("some"), F.min("kept").alias("all")).where("NOT all"))
+    torn = verdict.where("some").select(id_col)
+    stay = docs.join(verdict.select(id_col), id_col, "left_anti").select(*docs.columns)
+    if not torn.isEmpty():
+        doubtful = docs.join(torn, id_col, "left_semi").select(*docs.columns)
+        key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+        named = signed(doubtful.select(key.alias("_key"), text_col), options.get("words", WORDS), 1, 1, 0, options.get("seed", SEED), "_key", text_col)
+        sets = written(named.select(F.col("doc_id").alias("_key"), "set_id").distinct())
+        good = own.where("kept").join(torn, id_col, "left_semi").select(id_col, "set_id").distinct()
+        stay = stay.unionByName(doubtful.withColumn("_key", key).join(sets, "_key").join(good, [id_col, "set_id"], "left_semi").select(*docs.columns))
     again = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))  # mostly none
     return stay.join(again, id_col, "left_anti").select(*docs.columns).unionByName(stay.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
 

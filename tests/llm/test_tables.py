@@ -113,6 +113,13 @@ def test_one_document_of_each_group_stays(spark):
     assert got == sorted(["1", "4", "5", "None", "7", "8", "9"])
 
 
+def test_an_id_with_two_texts_keeps_the_one_of_its_own(spark):
+    other = "A text of its own, which stands nowhere else and would be lost together with the copy of the first one."
+    rows = [(1, LONG), (2, LONG), (2, other), (3, other), (4, "four words of another kind of text"), (None, LONG), (5, None), (5, LONG)]
+    got = sorted(map(tuple, neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, LONG), (2, other), (4, "four words of another kind of text"), (None, LONG), (5, None)], key=str)
+
+
 @pytest.mark.parametrize("length", [40, 400])
 def test_repeats_against_brute_force(spark, length):
     rng = random.Random(length)
