@@ -1,4 +1,4 @@
-"""Every registered query with its DuckDB counterpart; all run over whole tables of records made of ``documents``."""
+"""Every registered query with its DuckDB counterpart; all run over every row of records made of ``documents``, which hold the first twelve words of a text (README)."""
 
 from __future__ import annotations
 
