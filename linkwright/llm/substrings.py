@@ -9,18 +9,23 @@ dictionary and of the parse together give the corpus order, and a string is repe
 Only strings with a common first trigger can be equal, so the order is made in shards:
 
 * the key of a trigger is the hash of the bytes that all its strings share, those after the trigger for the short suffixes
-  (l < ``NEAR``), those around it for the long ones; keys that occur once are dropped;
+  (l < length - ``anchor(length)``), those around it for the long ones; keys that occur once are dropped;
 * triggers whose whole context is equal are settled by its hash;
 * of the others, a shard sorts the reversed phrase suffixes and the texts after the trigger; in either order the longest
   common prefixes of neighbours say, for each l, which rows have an equal suffix and an equal continuation;
 * strings without a trigger lie inside one long phrase and are compared by their own hash.
 
+Beside the exact answer stand ``passages``, what the parse shows by itself at a smaller size: the bytes of strings of
+``anchor(length)`` bytes (128 for 400) that start at a trigger and start in another text as well. A passage of n bytes that
+two texts share has such a string unless no trigger lies in its first n - 136 bytes, (63/64) ** (n - 136) of the cases: 8 % of
+passages of 300 bytes, 2 % of those of 400. Its first and last bytes may lie outside the strings.
+
 Equal texts are one text from the start. Keys shared by a third of all triggers are counted before they are shuffled, and
 shards with more than ``HOT`` contexts are settled by counting hashes of their strings instead of sorting.
 
 Defined results: a null text counts as empty; texts of fewer than ``length`` bytes are never touched, equal or not; a text
-that occurs more than once (repeated rows and ids included) and is long enough is removed whole; null ids stay null; an
-empty table gives an empty table; other columns are not read.
+that occurs more than once (repeated rows and ids included) and is long enough is removed whole, and from ``anchor(length)``
+bytes on it is one passage; null ids stay null; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,13 +42,17 @@ from pyspark.sql import functions as F
 from linkwright.llm.common import map_text, written
 
 LENGTH, TRIGGER, MODULUS = 400, 8, 64
-NEAR = 160  # suffixes shorter than this share length - NEAR bytes after the trigger
 HOT = 100_000  # contexts that one shard sorts at the most
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = pow(0x9E3779B97F4A7C15, -1, 2**64)
 ROW = "key bigint, context bigint, at int, low int, high int"
 
 
+def anchor(length: int) -> int:
+    """Bytes after a trigger that its strings with a short suffix share; a trigger's own bytes and one more at least."""
+    return max(TRIGGER + 1, length * 8 // 25)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -108,29 +117,32 @@ def rows_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     """(key, context, at, low, high) of each trigger of a text, and of each string without one (low = -1).
 
     A row stands for the strings that start l bytes before ``at``, low <= l < high, and fit in the text; with low = -2 for a
-    run of ``high`` strings up to ``at`` that the text itself repeats.
+    run of ``high`` strings up to ``at`` that the text itself repeats. A row of low = high = 0 stands for no such string: only
+    the bytes after its trigger matter.
     """
-    n = len(data)
-    if n < length:
+    n, after = len(data), anchor(length)
+    near = length - after  # suffixes from this length on are long
+    if n < after:
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int32),) * 3)
     text = Text(data)
     b = text.triggers
     gap = np.diff(b, prepend=-1)
     out = []
     # Short suffixes: the bytes after the trigger are shared.
-    high, after = np.minimum(gap, NEAR), np.minimum(length, n - b)
-    ok = after > length - high
-    out.append((b[ok], np.zeros(ok.sum(), int), high[ok], text.hashes(b[ok], length - NEAR) if ok.any() else np.zeros(0, np.uint64)))
+    ok = n - b >= after
+    high = np.minimum(gap, near)
+    high[n - b <= length - high] = 0
+    out.append((b[ok], np.zeros(ok.sum(), int), high[ok], text.hashes(b[ok], after)))
     # Long suffixes: the bytes around the trigger are shared.
     high = np.minimum(gap, length - TRIGGER + 1)
-    ok = (high > NEAR) & (n - b > length - high)
-    out.append((b[ok], np.full(ok.sum(), NEAR), high[ok], ~text.hashes(b[ok] - NEAR, NEAR + TRIGGER)))
+    ok = (high > near) & (n - b > length - high)
+    out.append((b[ok], np.full(ok.sum(), near), high[ok], ~text.hashes(b[ok] - near, near + TRIGGER)))
     at, low, high, key = (np.concatenate(x) for x in zip(*out, strict=True))
     begin, end = at - high + 1, np.minimum(at + length - low, n)
     with np.errstate(over="ignore"):
         context = mix(text.hashes(begin, end - begin) + (high * 1000 + low).astype(np.uint64))
     # Strings without a trigger.
-    starts = np.arange(n - length + 1)
+    starts = np.arange(max(0, n - length + 1))
     following = np.append(b, n + length)[np.searchsorted(b, starts)]
     alone = starts[following + TRIGGER > starts + length]
     own, first, which, count = np.unique(mix(text.hashes(alone, length)), return_index=True, return_inverse=True, return_counts=True)
@@ -315,10 +327,13 @@ def by_string(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(nodes: DataFrame, length: int) -> DataFrame:
-    """(node, spans array<struct<at, first, last>>): the strings that start ``first`` to ``last`` bytes before ``at`` are repeated."""
-    rows = triggers(nodes, length)
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    """(node, spans array<struct<at, first, last, shared>>): the strings that start ``first`` to ``last`` bytes before ``at`` are
+    repeated; with ``shared``, that many bytes from ``at`` on are in another text, too (first and last are then null)."""
+    rows = written(triggers(nodes, length))  # parsing is the dearest step, and two shuffles read it
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("node") < F.max("node")).alias("elsewhere")).where("n > 1").select("key", "elsewhere")
     shared = written(rows.join(often, "key"))
+    seen = shared.where("elsewhere AND low IN (0, -1)").select("node", "at", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.when(F.col("low") == 0, anchor(length)).otherwise(length).alias("shared"))
+    shared = shared.where("high > 0").drop("elsewhere")
     # Equal contexts settle their rows; of each context one row goes on to meet the key's other contexts.
     same = shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "at", "low", "high")).alias("row"))
     same = written(same)
@@ -335,39 +350,51 @@ def repeated(nodes: DataFrame, length: int) -> DataFrame:
         solved = in_order(found.join(large, "key", "left_anti"), length).unionByName(by_string(found.join(large, "key", "left_semi"), length))
     else:
         solved = in_order(found, length)
-    return sure.unionByName(solved).groupBy("node").agg(F.collect_list(F.struct("at", "first", "last")).alias("spans"))  # bounded by a text
+    spans = sure.unionByName(solved).withColumn("shared", F.lit(None).cast("int")).unionByName(seen)
+    return spans.groupBy("node").agg(F.collect_list(F.struct("at", "first", "last", "shared")).alias("spans"))  # bounded by a text
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shown: tuple = ("removed", "kept")) -> DataFrame:
-    """Per row: doc_id, n_bytes, and ``shown``: columns made of removed array<struct<start, end>> (bytes) and kept binary (what stays)."""
+def pairs_of(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": z} for a, z in spans]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shown: tuple = ("removed", "passages", "kept")) -> DataFrame:
+    """Per row: doc_id, n_bytes, and ``shown``: columns made of removed and passages array<struct<start, end>> (bytes) and kept binary (what stays)."""
     every = texts_of(docs, id_col, text_col, True)
     nodes = written(every.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes")))
-    spans = repeated(nodes.where(F.col("n_bytes") >= length), length)
+    least = anchor(length)
+    spans = repeated(nodes.where(F.col("n_bytes") >= least), length)
     both = nodes.join(spans, "node", "left")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
-                removed, kept = [], []
+                removed, passages, kept = [], [], []
                 for copies, value, found in zip(part.column("copies").to_pylist(), part.column("packed"), part.column("spans").to_pylist(), strict=True):
                     data = unpacked(value.as_buffer())
-                    n = len(data)
-                    own = []
-                    if copies > 1 and n >= length:
-                        own = [(0, n)]
-                    elif found:  # a string must fit
-                        own = covered(n, [(s["at"] - s["last"], s["at"] - first + length) for s in found if (first := max(s["first"], s["at"] + length - n)) <= s["last"]])
-                    removed.append([{"start": a, "end": z} for a, z in own])
+                    n, found = len(data), found or []
+                    whole = [(0, n)] if copies > 1 else []
+                    # A string must fit.
+                    own = whole if whole and n >= length else covered(n, [(s["at"] - s["last"], s["at"] - first + length) for s in found if not s["shared"] and (first := max(s["first"], s["at"] + length - n)) <= s["last"]])
+                    removed.append(pairs_of(own))
+                    passages.append(pairs_of(whole if whole and n >= least else covered(n, [(s["at"], s["at"] + s["shared"]) for s in found if s["shared"]])))
                     edges = [0, *(x for span in own for x in span), n]
                     kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_bytes"), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["node", "n_bytes", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_bytes"), pa.array(removed, kind), pa.array(passages, kind), pa.array(kept, pa.binary())], names=["node", "n_bytes", "removed", "passages", "kept"])
 
-    texts = both.select("node", "n_bytes", "copies", "packed", "spans").mapInArrow(run, "node bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    spans_type = "array<struct<start:bigint,end:bigint>>"
+    texts = both.select("node", "n_bytes", "copies", "packed", "spans").mapInArrow(run, f"node bigint, n_bytes bigint, removed {spans_type}, passages {spans_type}, kept binary")
     return texts_of(docs, id_col, text_col, False).select("doc_id", "node").join(texts.select("node", "n_bytes", *shown), "node").drop("node")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What the query op10 returns."""
-    size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return remove_repeats(docs, shown=(size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
+    """What the query op10 returns; n_passages and n_passage_bytes count passages that stand in another text as well."""
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    shown = (
+        size("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), line("removed").alias("removed"),
+        F.size("passages").cast("long").alias("n_passages"), size("passages").alias("n_passage_bytes"),
+    )
+    return remove_repeats(docs, shown=shown)
