@@ -1,26 +1,24 @@
 """DuckDB SQL for the queries of the subpackage that SQL can express."""
 
 MIXING = """
-WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-weighed AS (SELECT source, n, round(pow(n::DOUBLE, 0.8), 6) AS w, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM counts),
-sized AS (SELECT *, greatest(1000, 10 * count(*) OVER ()) AS period, w / sum(w) OVER () * (greatest(1000, 10 * count(*) OVER ()) - count(*) OVER ()) AS share FROM weighed),
-ordered AS (SELECT *, row_number() OVER (ORDER BY -round(share - floor(share), 6), i) AS luck, period - count(*) OVER () - sum(floor(share)) OVER () AS spare FROM sized),
-plan AS (SELECT source, n, i, period, (floor(share) + 1 + CASE WHEN luck <= spare THEN 1 ELSE 0 END)::BIGINT AS q FROM ordered),
-one AS (SELECT list(q ORDER BY i) AS q, max(period) AS period FROM plan),
+WITH RECURSIVE counts AS (SELECT source, ceil(count(*) / 8)::BIGINT AS blocks, round(pow(count(*)::DOUBLE, 0.8), 6) AS t FROM documents GROUP BY source),
+plan AS (SELECT source, blocks, greatest(1, round(t / sum(t) OVER () * 1000000000)::BIGINT) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM counts),
+one AS (SELECT list(w ORDER BY i) AS w, sum(w)::BIGINT AS total FROM plan),
+length AS (SELECT min(((blocks + 1) * total + w - 1) // w) AS slots FROM plan, (SELECT total FROM one)),
 run AS (
-  SELECT 0::BIGINT AS slot, list_transform(q, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM one
+  SELECT 0::BIGINT AS slot, list_transform(w, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM one
   UNION ALL
   SELECT slot + 1, list_transform(done, lambda d, k: d + CASE WHEN k = p THEN 1 ELSE 0 END), p FROM (
     SELECT slot, done, (
-      SELECT k FROM (SELECT unnest(range(1, len(one.q) + 1)) AS k) WHERE done[k] < one.q[k] AND done[k] * one.period <= slot * one.q[k]
-      ORDER BY ceil((done[k] + 1) * one.period / one.q[k]), k LIMIT 1) AS p
-    FROM run, one WHERE slot < one.period)),
-slots AS (SELECT p.source, p.n, p.q, p.period, row_number() OVER (PARTITION BY r.pick ORDER BY r.slot) - 1 AS nth, r.slot - 1 AS slot FROM run r JOIN plan p ON p.i = r.pick - 1),
-finish AS (SELECT min(CAST(ceil(n / 8) AS BIGINT) // q * period + slot) AS last FROM slots WHERE nth = CAST(ceil(n / 8) AS BIGINT) % q),
-placed AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM documents)
-SELECT d.doc_id, d.source, d.rank // 8 AS block, (d.rank // 8) // s.q * s.period + s.slot AS slot, d.rank % 8 AS place,
-       (d.rank // 8) // s.q * s.period + s.slot < (SELECT last FROM finish) AS in_mix
-FROM placed d JOIN slots s ON s.source IS NOT DISTINCT FROM d.source AND s.nth = (d.rank // 8) % s.q
+      SELECT k FROM (SELECT unnest(range(1, len(one.w) + 1)) AS k) WHERE done[k] * one.total < (slot + 1) * one.w[k]
+      ORDER BY ((done[k] + 1) * one.total + one.w[k] - 1) // one.w[k], k LIMIT 1) AS p
+    FROM run, one, length WHERE slot < length.slots)),
+runs AS (SELECT pick AS i, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block, slot - 1 AS slot FROM run WHERE pick IS NOT NULL),
+finish AS (SELECT min(slot) AS last FROM runs JOIN plan USING (i) WHERE block >= blocks),
+placed AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM documents),
+dealt AS (SELECT d.doc_id, d.source, d.rank // 8 AS block, d.rank % 8 AS place, p.i, p.w FROM placed d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source)
+SELECT d.doc_id, d.source, d.block, d.place, ((d.block + 1) * (SELECT total FROM one) + d.w - 1) // d.w AS due, r.slot, r.slot IS NOT NULL AS in_mix
+FROM dealt d LEFT JOIN (SELECT * FROM runs WHERE slot < (SELECT last FROM finish)) r ON r.i = d.i AND r.block = d.block
 """
 
 WARC = """

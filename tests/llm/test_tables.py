@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -136,9 +137,24 @@ def test_repeats_against_brute_force(spark, length):
         if len(places) > 1:
             for d, i in places:
                 cover[d][i : i + length] = b"\1" * length
-    got = {r["doc_id"]: bytes(r["kept"]) for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length).collect()} if length == 400 else None
-    if length == 400:
-        assert got == {d: bytes(x for x, c in zip(b, cover[d], strict=True) if not c) for d, b in enumerate(data)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(docs, length=length).collect()}
+    assert {d: bytes(r["kept"]) for d, r in got.items()} == {d: bytes(x for x, c in zip(b, cover[d], strict=True) if not c) for d, b in enumerate(data)}
+    # Passages: strings from a trigger on that stand in another text, and strings of the whole length without a trigger.
+    size = substrings.anchor(length)
+    for d, b in enumerate(data):
+        own, others = bytearray(len(b)), [x for x in data if x != b]
+        marks = substrings.Text(b).triggers if b else []
+        for i in marks:
+            if any(b[i : i + size] in x for x in others) and i + size <= len(b):
+                own[i : i + size] = b"\1" * size
+        for i in range(len(b) - length + 1):
+            if not any(i <= m <= i + length - substrings.TRIGGER for m in marks) and any(b[i : i + length] in x for x in others):
+                own[i : i + length] = b"\1" * length
+        if data.count(b) > 1 and len(b) >= size:
+            own = bytearray(b"\1" * len(b))
+        spans = [(s["start"], s["end"]) for s in got[d]["passages"]]
+        assert spans == [m.span() for m in re.finditer(b"\1+", bytes(own))], d
 
 
 def test_hot_contexts_give_the_same(spark, monkeypatch):
@@ -168,17 +184,58 @@ def test_neighbours_of_an_empty_table(spark):
     assert neighbours.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def served(weights, slots):
+    """The sources that run in each slot, by hand: of the released blocks that with the earliest deadline."""
+    total, done, out = sum(weights), [0] * len(weights), []
+    for t in range(slots):
+        due = [(-(-(done[i] + 1) * total // w), i) for i, w in enumerate(weights) if done[i] * total // w <= t]
+        out.append(min(due)[1])
+        done[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize(
+    ("weights", "epoch", "group"),
+    [([5, 3, 1], 7, 2), ([974_903_211, 24_482_002, 614_787], 64, 3), ([1] * 17, 5, 4), ([400, *range(1, 20)], 9, 3), ([999_999_000, 997, 2, 1], 16, 5), ([7], 4, 2), ([333, 333, 334, 1, 1, 1, 1, 1], 11, 100)],
+)
+def test_epochs_give_the_schedule_of_one_run(spark, weights, epoch, group):
+    slots = 700
+    plan = spark.createDataFrame([(weights, sum(weights), slots)], "w array<long>, total long, slots long")
+    got = sorted((r["slot"], r["i"], r["block"]) for r in mixing.schedule(plan, epoch, group).collect())
+    want = served(weights, slots)
+    assert [i for _, i, _ in got] == want and [s for s, *_ in got] == list(range(slots))
+    assert [b for *_, b in got] == [want[:t].count(i) for t, i in enumerate(want)]
+
+
+def within_a_block(weights, ran):
+    total, done = sum(weights), [0] * len(weights)
+    for slot, i in enumerate(ran):
+        done[i] += 1
+        assert all(abs(d * total - (slot + 1) * w) < total for d, w in zip(done, weights, strict=True)), slot
+
+
 def test_mix_stays_within_a_block_of_its_weights(spark):
     rows = [(i, "abc"[0 if i % 2 else 1 if i % 3 else 2]) for i in range(4000)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights={"a": 5, "b": 3, "c": 1}, period=90, block=4).where("_in_mix")
-    slots = sorted((r["_slot"], r["source"]) for r in out.select("_slot", "source").distinct().collect())
-    assert [s for s, _ in slots] == list(range(len(slots)))
-    share, done = {"a": 5 / 9, "b": 3 / 9, "c": 1 / 9}, dict.fromkeys("abc", 0)
-    quanta = {r["source"]: r["q"] for r in mixing.one_period(mixing.target_slots(spark.createDataFrame([("a", 2000), ("b", 1333), ("c", 667)], "source string, n long"), {"a": 5, "b": 3, "c": 1}, 90, 1.0)).select("source", "q").distinct().collect()}
-    assert sum(quanta.values()) == 90 and all(abs(quanta[k] / 90 - share[k]) < 0.02 for k in share)
-    for slot, source in slots:
-        done[source] += 1
-        assert all(abs(done[k] - (slot + 1) * quanta[k] / 90) < 1 for k in done)
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights={"a": 5, "b": 3, "c": 1}, block=4).where("_in_mix")
+    slots = sorted((r["_slot"], "abc".index(r["source"])) for r in out.select("_slot", "source").distinct().collect())
+    assert [s for s, _ in slots] == list(range(len(slots))) and len(slots) > 800
+    within_a_block([5, 3, 1], [i for _, i in slots])
+
+
+def test_unequal_sources_stay_within_a_block_of_their_unrounded_weights(spark):
+    counts = {"a": 1_000_000, "b": 10_000, "c": 100}
+    plan = mixing.target_weights(spark.createDataFrame(list(counts.items()), "source string, n long"), None, 8, 0.8)
+    row = plan.first()
+    due = [n**0.8 / sum(n**0.8 for n in counts.values()) for n in counts.values()]
+    assert row["total"] == sum(row["w"]) and all(w / row["total"] == pytest.approx(d, rel=1e-5) for w, d in zip(row["w"], due, strict=True))
+    ran = [r["i"] for r in mixing.schedule(plan).orderBy("slot").collect()]
+    assert len(ran) == row["slots"] > 20_000
+    done = [0, 0, 0]
+    for slot, i in enumerate(ran):
+        done[i] += 1
+        assert all(abs(d - (slot + 1) * x) < 1 for d, x in zip(done, due, strict=True)), slot
+    # The rarest source runs out first, in the slot that would run the block it lacks.
+    assert done[2] == 14 and ran[-1] == 2 or 2 in ran[-200:]
 
 
 def test_mixed_documents_are_those_in_the_mix(spark):
@@ -193,7 +250,7 @@ def test_a_rare_source_ends_no_mix(spark):
     assert mixing.mix(docs).where("_in_mix").count() < len(rows)
     out = [tuple(r) for r in corpus_pipeline.balance(spark, docs, "").collect()]
     assert sorted(out, key=str) == sorted(rows, key=str)
-    slots = {(r["doc_id"], r["source"]): r["_slot"] for r in mixing.mix(docs).collect()}
+    slots = {(r["doc_id"], r["source"]): (r["_slot"] is None, r["_slot"] or 0, r["_due"]) for r in mixing.mix(docs).collect()}
     assert [slots[r] for r in out] == sorted(slots[r] for r in out)
 
 
