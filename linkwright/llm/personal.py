@@ -2,7 +2,8 @@
 
 Identifiers are first taken from the text as it stands. Then transducers rewrite homoglyphs, foreign digits, invisible
 characters, spelled digits and disguised ``@`` and ``.`` into plain ASCII, keeping for every rewritten piece its place in
-the source; identifiers of the normalised text that touch a rewritten piece are mapped back to source characters and added.
+the source; identifiers of the normalised text that touch a rewritten piece are mapped back to source characters and added, unless one
+of the text as it stands holds them. Spans that overlap are masked as one.
 
 Defined results: a null text counts as empty (no spans); an empty table gives an empty table; repeated rows and ids are
 each treated alone; null ids stay null; other columns are not read by ``find_personal_data`` and kept by
@@ -15,7 +16,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from operator import and_
+from operator import and_, itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,9 +195,11 @@ def find(text: str | None) -> tuple[list, list]:
     base, added = identifiers(text), []
     if changes := rewrites(text):
         view = Transduced(text, changes)
+        own = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}  # by rising start, and apart
         for kind, start, end in identifiers(view.text):
             begin, stop, touched = view.source(start, end)
-            if touched and not any(k == kind and begin < e and s < stop for k, s, e in base):
+            at = bisect_right(own[kind], begin, key=itemgetter(0)) - 1
+            if touched and not (at >= 0 and stop <= own[kind][at][1]):
                 added.append((kind, begin, stop))
     return base, added
 
