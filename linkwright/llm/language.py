@@ -6,7 +6,7 @@ know code-switching. Prediction runs forward-backward over each line; a text's l
 marginals over its words, and its score is that sum's share.
 
 Training takes a sample of labelled texts whose size is bounded: at most ``per_language`` texts (by hash of the id) of each
-of the ``max_languages`` most frequent labels. Everything else reads all rows.
+label, whichever labels there are. Everything else reads all rows.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; without any labelled text everything is
 ``und``; an empty table gives an empty table; repeated rows and ids are each treated alone; rows with a null id or label
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.common import map_text
 
 WORD = re.compile(r"[^\W\d_]+")
-PER_LANGUAGE, MAX_LANGUAGES = 60, 200
+PER_LANGUAGE = 60
 LEXICON_LEAST = 3  # a word is a feature of its own from so many places in the sample
 SEQUENCE, ROUNDS, STEP, DECAY = 24, 40, 0.5, 1e-4
 CACHE = 100_000  # words whose emissions a task keeps
@@ -201,18 +201,18 @@ class Tagger:
         return out
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """The bounded training sample: (text, language) of rows whose crc32 of the id, modulo 4, is not 2."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+    """The training sample: (text, language) of rows whose crc32 of the id, modulo 4, is not 2.
+
+    Its bound is ``per_language`` whole texts of every label there is; labels are counted over all rows.
+    """
     learn = docs.where((F.crc32(F.col(id_col).cast("string")) % 4 != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     learn = learn.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return []
     draw, full = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)), 1 << 30
-    chosen = F.lit(False)
-    for row in counts:  # about 5/4 of the bound, so that what each task sends on is small
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (draw < int(full * min(1, 1.25 * per_language / row["count"]))))
-    got = learn.where(chosen).withColumn("draw", draw).collect()
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a label
+    # About 5/4 of the bound are drawn, and a few more of rare labels, so that what each task sends on is small.
+    most = F.least(F.lit(1.0), (1.25 * per_language + 20) / F.col("n")) * full
+    got = learn.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") < most).select("id", "text", "lang", "draw").collect()
     taken: Counter = Counter()
     out = []
     for row in sorted(got, key=lambda r: (r["lang"], r["draw"], str(r["id"]), r["text"])):
