@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,14 +33,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that all machines share (``spark.checkpoint.dir``; set here only where it is unset)."""
+    """A new folder in the place that all machines share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a folder of this machine; on a cluster this is an error, as executors would
+    write to disks that others don't see.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = "/tmp/checkpoints"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        top = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/linkwright-{uuid.uuid4().hex}"
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``df``, which nothing may read any more."""
+    for path in {f.rpartition("/linkwright-")[0] + "/linkwright-" + f.rpartition("/linkwright-")[2].split("/")[0] for f in df.inputFiles() if "/linkwright-" in f}:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, *partitioned: str) -> DataFrame:
     """``df`` after a round through Parquet in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import written
+from linkwright.llm.common import forget, written
 
 
 def state(edges: DataFrame) -> tuple:
@@ -37,8 +37,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     now = written(now)
     seen = state(now)
     for _ in range(most_rounds):
-        now = written(small_star(large_star(now)))
+        last, now = now, written(small_star(large_star(now)))
         before, seen = seen, state(now)
+        forget(last)
         if before == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
