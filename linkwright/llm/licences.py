@@ -1,7 +1,8 @@
 """Licence scans (operator 5): ordered signature rules.
 
-A text becomes its lower-case words, one space apart. An automaton of keywords finds which of the hand-written rules may
-match at all; only those run. Overlapping detections are settled by priority: a detection that lies within one of at least
+A text becomes its lower-case words, one space apart. The rules are signatures of single licences, written by hand, and the
+licences' names in the ways in which texts name them. An automaton of keywords finds which of the rules may match at all;
+only those run. Overlapping detections are settled by priority: a detection that lies within one of at least
 its priority (or of higher priority with equal bounds) is suppressed. Three fixed phrases are always found as base labels.
 
 Defined results: a null or empty text has no words and no labels, score 0; an empty table gives an empty table; repeated
@@ -11,6 +12,7 @@ rows and ids are each treated alone; other columns are not read. Whole texts are
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import ahocorasick
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import map_text, once
+from linkwright.llm.signatures import SIGNATURES
 
 #: Bytes of words stay (A-Z in lower case), others become spaces; bytes of non-ASCII characters belong to words.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -116,35 +119,13 @@ FORMS = [
     (40, 0.7, ("licen",), r"(?:the )?{} licen[cs]e[ds]?\b"),
     (30, 0.6, ("licen",), r"dual licen[cs]ed (?:under|with) (?:the )?(?:[a-z0-9]+ ){{0,4}}(?:and|or) (?:the )?{}\b"),
 ]
-# Rules that no form makes.
-ALONE = [
-    Rule("spdx-mit", 90, 1.0, "spdx", r"spdx licen[cs]e identifier mit\b(?! 0)"),
-    Rule("spdx-apache-2", 90, 1.0, "spdx", r"spdx licen[cs]e identifier apache 2 0\b"),
-    Rule("spdx-gpl-2-only", 92, 1.0, "spdx", r"spdx licen[cs]e identifier gpl 2 0 only\b"),
-    Rule("spdx-gpl-2-or-later", 92, 1.0, "spdx", r"spdx licen[cs]e identifier gpl 2 0 or later\b"),
-    Rule("spdx-gpl-3-only", 92, 1.0, "spdx", r"spdx licen[cs]e identifier gpl 3 0 only\b"),
-    Rule("spdx-gpl-3-or-later", 92, 1.0, "spdx", r"spdx licen[cs]e identifier gpl 3 0 or later\b"),
-    Rule("spdx-other", 80, 0.9, "spdx", r"spdx licen[cs]e identifier [a-z0-9]+\b"),
-    Rule("mit", 85, 1.0, "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Rule("bsd-3-clause", 85, 0.9, "neither the name", r"neither the name of .{1,120} nor the names of its contributors may be used"),
-    Rule("bsd-2-clause", 75, 0.8, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    Rule("isc", 85, 0.9, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Rule("gpl-3-or-later", 86, 1.0, "general public", r"gnu general public licen[cs]e .{0,80}either version 3 of the licen[cs]e or .{0,20}any later version"),
-    Rule("gpl-2-or-later", 86, 1.0, "general public", r"gnu general public licen[cs]e .{0,80}either version 2 of the licen[cs]e or .{0,20}any later version"),
-    Rule("unlicense", 85, 0.95, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    Rule("public-domain", 45, 0.7, "public domain", r"(?:released|dedicated|placed|is) (?:in|into|to) the public domain"),
-    Rule("beerware", 85, 0.9, "beer", r"the beer ?ware licen[cs]e"),
-    Rule("proprietary", 45, 0.7, "all rights reserved", r"all rights reserved"),
-    Rule("proprietary", 65, 0.8, "confidential", r"proprietary and confidential"),
-    Rule("notice", 10, 0.3, "copyright", r"copyright (?:c |\xa9 )?(?:19|20)[0-9]{2}\b"),
-]
 
 
 def rules() -> list[Rule]:
     """All rules by falling priority; ties in the order of the tables, specific licences before general ones."""
     made = [Rule(label, priority - (label in ("gpl", "lgpl", "agpl", "cc-by")), score, keyword, form.format(name), also) for priority, score, also, form in FORMS for label, keyword, name in NAMES]
     named = [Rule(label, 20, 0.5, keyword, rf"\b{name}\b") for label, keyword, name in NAMES if "licen" in name or label.startswith(("cc-", "cc0"))]  # names that say it themselves
-    return sorted([*ALONE, *made, *named], key=lambda r: -r.priority)
+    return sorted([*(Rule(*own) for own in SIGNATURES), *made, *named], key=lambda r: -r.priority)
 
 
 @once
@@ -175,11 +156,26 @@ def detections(words: str) -> list[tuple[int, int, Rule]]:
     held = {word for word, _ in hits}
     which = sorted({i for _, own in hits for i in own if not every[i].also or not held.isdisjoint(every[i].also)})
     found = [(m.start(), m.end(), every[i]) for i in which for m in patterns[i].finditer(words)]
+    return suppressed(found)
+
+
+def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The detections that lie within none of at least their priority, in order of place.
+
+    Detections come by falling priority and length. Of those that stay, the ones that no other holds have rising starts and
+    rising ends, so the last of them that starts in time is the only one that can hold the next.
+    """
     stay: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        if not any(s <= start and end <= e for s, e, _ in stay):
-            stay = [d for d in stay if not (start <= d[0] and d[1] <= end and d[2].priority == rule.priority)]
-            stay.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        stay.append((start, end, rule))
+        first = bisect_left(starts, start)
+        last = bisect_right(ends, end, lo=first)  # those from first to last lie within this one
+        starts[first:last], ends[first:last] = [start], [end]
     return sorted(stay, key=lambda d: d[:2])
 
 

@@ -251,3 +251,59 @@ def test_plans_pack_everything_without_gaps(counts):
 def test_cut():
     assert packing.cut(1, 8) == [(0, 1)] and packing.cut(8, 8) == [(0, 8)] and packing.cut(20, 8) == [(0, 4), (4, 8), (12, 8)]
     assert zlib.crc32(packing.packed([0])) == zlib.crc32(b"\0\0\0\0") and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def plainly_suppressed(found):
+    stay = []
+    for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(s <= start and end <= e for s, e, _ in stay):
+            stay.append((start, end, rule))
+    return sorted(stay, key=lambda d: d[:2])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 20), st.integers(0, 400)), max_size=40))
+def test_suppression_against_brute_force(places):
+    rules = licences.rules()
+    found = [(start, start + size, rules[i]) for start, size, i in places]
+    assert licences.suppressed(found) == plainly_suppressed(found)
+
+
+def test_many_detections_are_settled_in_time():
+    import time
+
+    text = " ".join(f"released under the mit license {i} spdx license identifier mit" for i in range(5_000))
+    began = time.time()
+    assert len(licences.detections(f" {text} ")) == 10_000 and time.time() - began < 3
+
+
+SIGNED = [
+    ("You may not use this file except in compliance with the License.", "apache-2"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4-clause"), ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+    ("The Software shall be used for Good, not Evil.", "json"), ("License :: OSI Approved :: ISC License (ISCL)", "isc"), ("https://www.gnu.org/licenses/agpl-3.0.html", "agpl-3"),
+]
+
+
+@pytest.mark.parametrize(("text", "label"), SIGNED)
+def test_signatures_of_licences(text, label):
+    assert label in licences.scan(text)[2]
+
+
+def test_licence_query_against_a_plain_scan(spark):
+    """Base columns by plain regexes and labels by every rule without gate or intervals, on a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(-i, t) for i, (t, _) in enumerate(SIGNED, 1)] + [(-99, None), (-98, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    got = {r["doc_id"]: r for r in licences.digest(docs).collect()}
+    rules = [(r, re.compile(r.pattern)) for r in licences.rules()]
+    for row in docs.collect():
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (row["text"] or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+        words = [w.decode() for w in words]
+        places = [(i, label) for phrase, label in licences.BASE.items() for p in [phrase.split()] for i in range(len(words)) if words[i : i + len(p)] == p]
+        line = f" {' '.join(words)} "
+        left = plainly_suppressed([(m.start(), m.end(), r) for r, p in rules for m in p.finditer(line)])
+        labels = {r.label for *_, r in left} | {label for _, label in places}
+        own = got[row["doc_id"]]
+        assert own["n_words"] == len(words) and own["n_base"] == len(places) and own["labels"] == ",".join(sorted(labels))
+        assert own["base_labels"] == ",".join(sorted({x for _, x in places})) and own["score"] == max([r.score for *_, r in left] + [1.0] * bool(places) + [0.0])
+        assert (own["first_word"], own["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
