@@ -290,10 +290,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 
 def sequences(docs: DataFrame, **options) -> DataFrame:
-    """Per sequence: sequence_id, ids (all tokens in order), doc_ids of its pieces. A sequence holds at most ``capacity`` tokens."""
+    """Per sequence: sequence_id, ids (all tokens in order), and pieces array<struct<offset, doc_id, piece, start, length>>.
+
+    A sequence holds at most ``capacity`` tokens, so a group is bounded.
+    """
     rows = pack(docs, with_ids=True, **options)
-    own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
-    return rows.groupBy("sequence_id").agg(own.alias("own")).select("sequence_id", F.flatten("own.ids").alias("ids"), F.col("own.doc_id").alias("doc_ids"))
+    own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))
+    pieces = F.transform("own", lambda p: p.dropFields("ids"))
+    return rows.groupBy("sequence_id").agg(own.alias("own")).select("sequence_id", F.flatten("own.ids").alias("ids"), pieces.alias("pieces"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

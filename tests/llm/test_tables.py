@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -291,8 +292,147 @@ def test_pipeline_stages(spark):
             assert gone == 0 and personal.find_personal_data(after).where(F.size("spans") > 0).count() == 0
             assert after.where(F.col("n_chars") != F.length("text")).count() == 0
         before = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, SMALL).collect()
+    own = {(p["doc_id"], p["start"]): r["ids"][p["offset"] : p["offset"] + p["length"]] for r in packed for p in r["pieces"]}
+    for row in before.collect():  # the redacted text, from its pieces
+        ids = [i for start in sorted(s for d, s in own if d == row["doc_id"]) for i in own[row["doc_id"], start]]
+        want = TOKENIZER.encode(row["text"], add_special_tokens=False).ids
+        assert ids == [*want, 0]
+
+
+def test_pipeline_on_awkward_rows_and_empty_tables(spark):
+    before = spark.createDataFrame(ROWS, DOCUMENTS)
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.written(stage(spark, before, SMALL))
+        assert after.columns == before.columns
+        left.append(sorted(str(r["doc_id"]) for r in after.collect()))
+        before = after
+    # Null and empty texts have no language; copies go, and of equal rows with one id one stays.
+    assert left == [["1", "2", "3", "7", "7", "8", "9", "None"], *[["1", "7", "8", "9", "None"]] * 3]
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SMALL)
-    assert packed.where("piece = 0").count() == before.count()
+    assert {p["doc_id"] for r in packed.collect() for p in r["pieces"]} == {1, 7, 8, 9, None}
+    none = spark.createDataFrame([], DOCUMENTS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SMALL).collect() == [], name
+
+
+def test_packing_query_against_the_tokenizer(spark):
+    """Every id of every whole text stands once, in pieces that fill sequences without gaps, in about as few as can be."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000)], "doc_id long, text string"))
+    rows = packing.digest(docs).collect()
+    tokens, by_doc, by_sequence = 0, {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for row in docs.collect():
+        ids = [*TOKENIZER.encode(row["text"] or "", add_special_tokens=False).ids, 0]
+        own = sorted(by_doc.pop(row["doc_id"]), key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and len(own) == -(-len(ids) // 2048)
+        at = 0
+        for r in own:
+            assert r["start"] == at and (r["length"] == 2048 or r["piece"] == 0)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+        tokens += at
+    assert not by_doc
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert len(by_sequence) <= 1.01 * -(-tokens // 2048) + 1
+
+
+def test_language_query_against_enumeration(spark):
+    """Predictions of the query equal marginals by brute force over all label sequences of short lines."""
+    import itertools
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    short = spark.createDataFrame([(-i, t, None) for i, t in enumerate(["the thand er", "de la ciónes\nund der", "einen schen", "!!! 12", "la le\n\nthe the the"], 1)], "doc_id long, text string, lang string")
+    field = language.fit(docs)
+    got = {r["doc_id"]: r for r in language.predict(docs.unionByName(short), field).collect()}
+    k = len(field.labels)
+    for row in short.collect():
+        total = np.zeros(k)
+        for line in row["text"].split("\n"):
+            words = language.WORD.findall(line)
+            emit = np.array([sum(field.weights[field.index[f]] for f in language.features(w) if f in field.index) + np.zeros(k) for w in words])
+            sums, all_ = np.zeros((len(words), k)), 0.0
+            for path in itertools.product(range(k), repeat=len(words)) if words else ():
+                w = np.exp(field.starts[path[0]] + sum(emit[i, a] for i, a in enumerate(path)) + sum(field.moves[a, b] for a, b in itertools.pairwise(path)))
+                all_ += w
+                for i, a in enumerate(path):
+                    sums[i, a] += w
+            total += (sums / all_).sum(0) if words else 0
+        own = got[row["doc_id"]]
+        if total.any():
+            assert own["lang_pred"] == field.labels[int(total.argmax())] and own["score"] == pytest.approx(total.max() / total.sum(), abs=1e-4)
+        else:
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+
+
+def setup_module():
+    global TOKENIZER
+    from tokenizers import Tokenizer
+
+    TOKENIZER = Tokenizer.from_file(packing.default_tokenizer())
+    TOKENIZER.encode_special_tokens = True
+
+
+def test_archives_are_read_in_any_pieces():
+    import gzip
+
+    text = "".join(f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n" for b in ("", "a\r\n\r\nb", "x" * 300, "WARC/1.1")).encode()
+    for data in (text, gzip.compress(text), gzip.compress(text[:200]) + gzip.compress(text[200:])):
+        for size in (1, 7, 64, 10_000):
+            whole = b"".join(warc.inflated(memoryview(data)))
+            assert [b for _, b in warc.parse(whole[i : i + size] for i in range(0, len(whole), size))] == [b"", b"a\r\n\r\nb", b"x" * 300, b"WARC/1.1"]
+    for bad in (text[:-3], text[:20], b"no archive\r\n\r\n", gzip.compress(text)[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflated(memoryview(bad))))
+
+
+def test_common_and_missing_keys_are_looked_up(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "hot" if i % 2 else f"k{i % 1500}") for i in range(6000)], "id int, k string")
+    counts = {}
+    for r in rows.collect():
+        counts[r["k"]] = counts.get(r["k"], 0) + 1
+    found = spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items() if k and k != "k2"], "of string, n long, v string")
+    got = warc.looked_up(rows, F.col("k"), F.col("id").cast("string"), found).collect()
+    assert len(got) == 6000 and all(r["v"] == (None if r["k"] in (None, "k2") else f"v{r['k']}") for r in got)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://there:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session())
+
+
+def test_neighbours_over_many_shards(spark):
+    """Eight shards of real vectors, against brute force; extra columns with clashing names are not read."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    table = spark.createDataFrame([(r["vec_id"], r["embedding"], 1, "x", 2.0, None) for r in rows], "vec_id long, embedding array<float>, shard int, block string, score double, id long")
+    got = neighbours.nearest(table, F.col("id") % 50 == 0, shard=-(-len(rows) // 8)).collect()
+    assert neighbours.index(table.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), -(-len(rows) // 8)).count() == 8
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    hits = total = 0
+    for q in ids[ids % 50 == 0]:
+        gap = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        near = [i for _, i in sorted((g, i) for g, i in zip(gap, ids, strict=True) if i != q)[:10]]
+        hits += len(set(near) & {r["vec_id"] for r in got if r["query_id"] == q})
+        total += 10
+    assert hits / total >= 0.95
 
 
 def test_the_queries_of_the_ten_operators_are_registered():
