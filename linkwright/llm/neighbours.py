@@ -1,7 +1,7 @@
 """Approximate nearest neighbours (operator 9): hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node, which keeps the ids that can be among the nearest. Nodes are dealt by hash to shards of about
-``shard`` nodes; each shard builds its graph and stores it as flat arrays (vectors, levels, neighbour lists of fixed
+``shard`` nodes, 4,096 for small tables and a 64th of the nodes, but not above 65,536, for large ones; each shard builds its graph and stores it as flat arrays (vectors, levels, neighbour lists of fixed
 width). A set of queries is searched in every shard, in blocks, and the shards' results are merged; distances are then
 Euclidean ones in double precision on the original vectors. Every valid row is indexed.
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.common import written
 
 LINKS, EF_BUILD, EF_SEARCH, SHARD, QUERY_BLOCK = 12, 64, 96, 4096, 2048
+MOST_NODES, SHARD_BYTES = 65_536, 256_000_000  # of a shard
 
 
 class Graph:
@@ -131,11 +132,21 @@ def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
     return rows.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("size", F.size("vector"))
 
 
-def index(rows: DataFrame, shard: int = SHARD, width: int = LINKS, ef: int = EF_BUILD, keep: int = 11) -> DataFrame:
+def parts_for(groups: int) -> int:
+    """Partitions over which so many equal groups are dealt by hash: mostly one of them in each."""
+    return min(4 * groups, 20_000)
+
+
+def shard_size(nodes: int, dimension: int) -> int:
+    """Nodes of a shard: more for larger tables, as every query is searched in every shard, up to what a worker holds."""
+    return max(1, min(max(SHARD, nodes // 64), MOST_NODES, SHARD_BYTES // (8 * max(1, dimension))))
+
+
+def index(rows: DataFrame, shard: int | None = None, width: int = LINKS, ef: int = EF_BUILD, keep: int = 11) -> DataFrame:
     """A row per shard: dimension, ids of each node, and the graph's flat arrays. ``rows``: id, vector, all usable, distinct."""
     nodes = written(nodes_of(rows, keep))
-    count = nodes.count()
-    shards = max(1, -(-count // shard))
+    count, dimension = nodes.agg(F.count(F.lit(1)), F.max("size")).first()
+    shards = max(1, -(-count // (shard or shard_size(count, dimension or 1))))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ids", key=lambda s: s.map(lambda x: x[0]), kind="stable")
@@ -149,15 +160,22 @@ def index(rows: DataFrame, shard: int = SHARD, width: int = LINKS, ef: int = EF_
             }
         )
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).repartition(parts_for(shards), "size", "shard")
     return dealt.groupBy("size", "shard").applyInPandas(build, "shard int, size int, nodes long, vectors binary, entry long, links array<binary>, ids binary, ends binary")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARCH, width: int = LINKS, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, vec_id, score) of each query's k nearest in each shard. ``queries``: id, vector, all usable."""
-    blocks = queries.withColumn("size", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))))
+    """(query_id, vec_id, score) of each query's k nearest in each shard. ``queries``: id, vector, all usable.
+
+    A graph and a block of queries meet by dimension, shard and block, so that there are as many tasks as shards times blocks.
+    """
+    n, shards = max(1, -(-queries.count() // block)), (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    number = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    blocks = queries.withColumn("size", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     blocks = blocks.groupBy("size", "block").agg(F.collect_list("id").alias("query"), F.collect_list("vector").alias("asked"))  # of bounded size
-    pairs = graphs.join(blocks, "size")
+    keys = ["size", "shard", "block"]
+    dealt = lambda rows: rows.repartition(parts_for(shards * n), *keys)
+    pairs = dealt(graphs.withColumn("block", number(n))).join(dealt(blocks.withColumn("shard", number(shards))), keys)
 
     def run(frames):
         for frame in frames:
@@ -178,7 +196,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEAR
     return pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score double")
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None) -> DataFrame:
     """Per query row its k nearest: query_id, rank, vec_id, score. ``is_query`` is a predicate on the column ``id``."""
     vector = F.col(vector_col).cast("array<double>")
     own = rows.select(F.col(id_col).cast("bigint").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"))).distinct()
