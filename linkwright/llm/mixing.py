@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     counts = rows.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     plan = written(target_weights(counts, weights, block, alpha))
     sources = plan.select(F.posexplode(F.arrays_zip("source", "blocks", "w")).alias("_i", "s"), "total").select("_i", F.col("s.source").alias("_of"), F.col("s.blocks").alias("_blocks"), F.col("s.w").alias("_w"), F.col("total").alias("_total"))
-    runs = schedule(plan)
+    runs = written(schedule(plan))  # a row a block, read twice
     # The mix ends with the first slot that runs a block which its source lacks.
     end = runs.join(F.broadcast(sources), F.col("i") == F.col("_i")).where(F.col("block") >= F.col("_blocks")).agg(F.min("slot").alias("_end"))
     # Documents are ranked within a source by md5, in buckets of its first three digits: a hot source spreads over 4096.
