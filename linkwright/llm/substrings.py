@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import map_text, written
+from linkwright.llm.common import forget, map_text, written
 
 LENGTH, TRIGGER, MODULUS = 400, 8, 64
 HOT = 100_000  # contexts that one shard sorts at the most
@@ -332,6 +332,7 @@ def repeated(nodes: DataFrame, length: int) -> DataFrame:
     rows = written(triggers(nodes, length))  # parsing is the dearest step, and two shuffles read it
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("node") < F.max("node")).alias("elsewhere")).where("n > 1").select("key", "elsewhere")
     shared = written(rows.join(often, "key"))
+    forget(rows)
     seen = shared.where("elsewhere AND low IN (0, -1)").select("node", "at", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.when(F.col("low") == 0, anchor(length)).otherwise(length).alias("shared"))
     shared = shared.where("high > 0").drop("elsewhere")
     # Equal contexts settle their rows; of each context one row goes on to meet the key's other contexts.
