@@ -86,19 +86,24 @@ def normal_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", " "))
 
 
+def first_normal_text(c: Column) -> Column:
+    """The first generation's tokens: letters in lower case and ``&`` as a word, nothing else rewritten."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(to_latin(F.coalesce(c, F.lit("")))), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+
+
 def words(c: Column) -> Column:
     """The words of a text with single spaces; none for an empty one."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
-def tokens(c: Column) -> Column:
-    return words(normal_text(c))
+def tokens(c: Column, first: bool = False) -> Column:
+    return words(first_normal_text(c) if first else normal_text(c))
 
 
-def skeletons(tokens: Column) -> Column:
-    """The phonetic skeleton of each token, in place; a token may become empty."""
+def skeletons(tokens: Column, first: bool = False) -> Column:
+    """The phonetic skeleton of each token, in place; a token may become empty. The first generation's only drops vowels."""
     c = F.array_join(tokens, " ")
-    for pattern, to in PHONETIC:
+    for pattern, to in PHONETIC[-1:] if first else PHONETIC:
         c = F.regexp_replace(c, pattern, to)
     c = F.regexp_replace(c, r"([^ ])\1+", "$1")
     return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.split(c, " "))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import text as T
 from linkwright.operators.similarity import jaccard, kernels
 
+# The features' names in the models' order, the cap of a difference and what counts as near.
 STRING = [
     "name_ratio", "name_tset", "name_tsort", "name_partial", "name_jw", "core_ratio", "core_tset", "core_partial", "core_concat_ratio", "skel_ratio", "skel_tset", "core_jacc",
     "name_len_a", "name_len_b", "addr_ratio", "addr_tset", "addr_partial", "addr_jacc", "num_jacc", "num_shared", "num_conflict", "num_a", "num_b", "max_shared_num_len",
@@ -22,10 +23,12 @@ def prepare(records: DataFrame) -> DataFrame:
     """entity_id, country and the normal forms that pair features need."""
     df = records.withColumn("nt", T.tokens(F.col("business_name"))).withColumn("at", T.mapped(T.tokens(F.col("business_address")), T.ADDRESS_PAIR))
     df = df.withColumn("core", T.without(F.col("nt"), T.LEGAL))
+    # Romanised records say themselves what their names were.
+    nonascii = F.col("name_nonascii") if "name_nonascii" in df.columns else F.coalesce(F.col("business_name").rlike(r"[^\x00-\x7F]"), F.lit(False))
     return df.select(
         "entity_id", "country", F.array_join("nt", " ").alias("name"), F.array_join("core", " ").alias("core_name"), F.array_join(T.skeletons(F.col("core")), " ").alias("skel"),
         F.array_join("core", "").alias("concat"), F.array_join("at", " ").alias("addr"), F.array_distinct(F.transform(F.filter("at", T.is_number), T.no_zeros)).alias("nums"),
-        F.array_distinct("core").alias("core_set"), F.array_distinct("at").alias("addr_set"), F.coalesce(F.col("business_name").rlike(r"[^\x00-\x7F]"), F.lit(False)).alias("nonascii"),
+        F.array_distinct("core").alias("core_set"), F.array_distinct("at").alias("addr_set"), nonascii.alias("nonascii"),
         (F.coalesce("business_address", F.lit("")) == "").alias("addr_empty"), T.number_sequence(F.col("at")).alias("seq"), T.initials(F.col("core")).alias("initials"), "nt", "at",
     )
 

@@ -96,7 +96,7 @@ def view(bags: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     return bags.withColumn("bag", F.filter("bag", keep))
 
 
-NAME_VIEW, ADDRESS_VIEW = ("n", "k", "b", "c"), ("d", "dw", "a", "ak")
+NAME_VIEW, ADDRESS_VIEW = ("n", "k", "k1", "b", "c"), ("d", "dw", "a", "ak")
 
 
 def multi_view(s1: DataFrame, s23: DataFrame, k: int, min_idf: float = MIN_IDF) -> DataFrame:

@@ -15,7 +15,9 @@ from linkwright.plans.oracle import clean, expand, expected_rule, f05, index, nu
 from linkwright.sources import records as R
 
 #: The documents make small indexes, so features that are not very frequent must stay.
-SETTINGS = linkage.Settings(top_k=10, min_idf=2.0)
+#: They are few as well, so that leaves of few rows and some tens of rounds must do.
+SETTINGS = linkage.Settings(top_k=10, min_idf=2.0, rounds=20, patience=8, least_rows=1)
+TREES = {"minInstancesPerNode": SETTINGS.least_rows}
 PAIR = ["source1_entity_id", "candidate_entity_id"]
 PRELUDE = oracle.prelude(SETTINGS)
 
@@ -444,6 +446,30 @@ def quantile_threshold(w) -> DataFrame:
     return decide.quantile_threshold(_scored(w), 0.9)
 
 
+@query(
+    """SELECT k.keep, min(c.p) AS threshold, (SELECT count(*) FROM lab WHERE p >= min(c.p)) / (SELECT count(*) FROM ents) AS per_entity
+FROM (SELECT unnest([0.8, 0.9, 0.95]) AS keep) k JOIN (SELECT p, row_number() OVER (ORDER BY p) AS r FROM lab WHERE label = 1) c ON c.r = floor((1 - k.keep) * (SELECT count(*) FROM lab WHERE label = 1)) + 1 GROUP BY 1""",
+    keep=True,
+)
+def operating_points(w) -> DataFrame:
+    return decide.operating_points(_scored(w), w.entities, (0.8, 0.9, 0.95))
+
+
+@query(f05("(SELECT * FROM lab WHERE label = 1)"))
+def oracle_f05(w) -> DataFrame:
+    return decide.oracle_f05(_scored(w), w.entities).select(*six("f05"))
+
+
+@query(f05("(SELECT * FROM (SELECT * FROM lab QUALIFY p >= 0.4 AND p >= 0.5 * max(p) OVER (PARTITION BY source1_entity_id)) QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY p DESC, candidate_entity_id) <= 10)"))
+def threshold_not_exclusive(w) -> DataFrame:
+    return decide.macro_f05(decide.select_threshold(_scored(w), 0.4, 0.5, exclusive=False), w.entities).select(*six("f05"))
+
+
+@query("SELECT count(*) AS n_pairs, round(avg(label), 6) AS positive_rate FROM lab")
+def positive_rate(w) -> DataFrame:
+    return _scored(w).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("label"), 6).alias("positive_rate"))
+
+
 @query(
     f"""SELECT c.source1_entity_id, c.candidate_entity_id, p2, p2_rank, p2_max, {six_sql('p2_sum')}, p2_n50, coalesce(p2_second, 0) AS p2_second, round(CASE WHEN p2_max > 0 THEN p2 / p2_max ELSE 0 END, 6) AS p2_rel,
 coalesce(sibp_max, 0) AS sibp_max, round(coalesce(sibp_mean, 0), 6) AS sibp_mean, coalesce(sibp_n, 0) AS sibp_n FROM so2 c LEFT JOIN near n ON n.source1_entity_id = c.source1_entity_id AND n.y = c.candidate_entity_id""",
@@ -538,11 +564,8 @@ def record_lookup(w) -> DataFrame:
 
 @query("SELECT entity_id, business_name, business_address, country FROM rec")
 def tsv_round_trip(w) -> DataFrame:
-    import uuid
-
     spark = w.records.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{top}/linkwright-{uuid.uuid4().hex}"
+    path = linkage.shared_folder(spark)
     R.write_tsv(w.records.select("entity_id", "business_name", "business_address", "country"), path)
     return R.read_tsv(spark, path)
 
@@ -550,15 +573,34 @@ def tsv_round_trip(w) -> DataFrame:
 # Variants of the bag, by the recall of ten candidates.
 
 
-@query()
+#: Options of the bag, and whether half the budget goes to views of names and of addresses.
+FIRST, SECOND = {"first": True, "skeleton": ("v1",), "address_skeletons": False}, {"skeleton": ("v1",), "address_skeletons": False}
+VARIANTS = {
+    "v1": (FIRST, False), "norm v2": (SECOND, False), "norm v2, skel v2": (SECOND | {"skeleton": ("v2",)}, False), "norm v2, skel v1+v2": (SECOND | {"skeleton": ("v1", "v2")}, False),
+    "norm v2, concat": (SECOND | {"concat": True}, False), "norm v2, askel": (SECOND | {"address_skeletons": True}, False),
+    "v2": ({"skeleton": ("v2",), "concat": True, "address_skeletons": True}, False), "final": ({"skeleton": ("v2",), "address_skeletons": True}, False),
+    "v1 + views": (FIRST, True), "norm v2 + views": (SECOND, True),
+}
+ABLATION_K = 8
+_final, _before = oracle.ablation(VARIANTS, SETTINGS.min_idf, ABLATION_K)
+
+
+@query(_final, _before, keep=True)
 def ablation(w) -> DataFrame:
-    out = None
-    for name, options in (("all features", {}), ("no address skeletons", {"address_skeletons": False}), ("run-together names", {"concat": True})):
-        bags = bag.bags(w.records.select("entity_id", "src", "country", "business_name", "business_address"), **options)
-        found = retrieve.forward(bags.where("src = 'S1'"), retrieve.build_index(bags.where("src <> 'S1'"), SETTINGS.min_idf), 10)
-        one = measure.recall_at_k(found, w.truth, [10]).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.select("variant", "recall", "pairs")
+    """Recall of the best eight candidates for each variant, and how many pairs that takes. A job and a row a variant."""
+    rows, truth, made = [], linkage.written(w.truth), {}
+    for name, (options, views) in VARIANTS.items():
+        if (key := repr(options)) not in made:
+            made[key] = linkage.written(bag.bags(w.records.select("entity_id", "src", "country", "business_name", "business_address"), **options))
+        bags = made[key]
+        s1, s23 = bags.where("src = 'S1'"), bags.where("src <> 'S1'")
+        if views:
+            found = retrieve.multi_view(s1, s23, ABLATION_K, SETTINGS.min_idf)
+        else:
+            found = retrieve.forward(s1, retrieve.build_index(s23, SETTINGS.min_idf), ABLATION_K)
+        found = linkage.written(found.select(*PAIR))
+        rows.append((name, measure.label_pairs(truth, found).agg(F.round(F.avg("label"), 6)).first()[0], found.count()))
+    return w.records.sparkSession.createDataFrame(rows, "variant string, recall double, pairs long")
 
 
 # Learning.
@@ -575,7 +617,7 @@ def _learned(name: str):
 @_learned("stage1_prune")
 def stage1_prune(w) -> DataFrame:
     rows = linkage.written(w.labelled)
-    scored = model.predict(model.fit(rows, 1), rows, "p1").withColumn("p1", F.round("p1", 9))
+    scored = model.predict(model.fit(rows, 1, **TREES), rows, "p1").withColumn("p1", F.round("p1", 9))
     return scored.where(F.col("p1") >= model.prune_threshold(scored, SETTINGS.stage1_recall)).select(*PAIR, "p1", "label")
 
 
@@ -586,16 +628,16 @@ def _full(w) -> DataFrame:
 @_learned("stage2_match")
 def stage2_match(w) -> DataFrame:
     full = _full(w)
-    return model.predict(model.fit(full, 2), full).select(*PAIR, "p", "label")
+    return model.predict(model.fit(full, 2, **TREES), full).select(*PAIR, "p", "label")
 
 
 @_learned("stage3_match")
 def stage3_match(w) -> DataFrame:
-    third = linkage.written(decide.second_order(linkage.written(model.out_of_fold(_full(w), 2)), w.edges))
-    return model.predict(model.fit(third, 3), third).select(*PAIR, "p", "label")
+    third = linkage.written(decide.second_order(linkage.written(model.out_of_fold(_full(w), 2, **TREES)), w.edges))
+    return model.predict(model.fit(third, 3, **TREES), third).select(*PAIR, "p", "label")
 
 
 @_learned("pipeline_e2e")
 def pipeline_e2e(w) -> DataFrame:
     matches, _, selection = linkage.link(w.records, w.truth, w.settings)
-    return matches.withColumn("rule", F.lit(json.dumps(selection, sort_keys=True)))
+    return matches.withColumn("rule", F.lit(json.dumps({k: v for k, v in selection.items() if k != "report"}, sort_keys=True)))

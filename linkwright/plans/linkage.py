@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import cached_property
@@ -9,17 +11,26 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkwright.functions.scripts import latin_records
 from linkwright.operators import bag, candidates, decide, measure, model, pairs, quality, retrieve, sampling
 from linkwright.sources import records as R
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the place that all machines share; without one only a local master goes on, with a folder of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        top = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{top}/linkwright-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` by way of Parquet in the folder that all machines share, so that later steps don't compute it again."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{top}/linkwright-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass
@@ -34,16 +45,32 @@ class Settings:
     stage1_recall: float = 0.998
     stage3: str = "auto"
     seed: int = 42
-    drop_s1: float = 0.18
-    n_s1: int = 150_000
+    drop_s1: float = 0.18  # share of first-source records that training leaves out, so that their matches match nothing
+    n_s1: int = 150_000  # first-source records whose pairs training takes
+    rounds: int = 3000  # of boosting, at the most
+    patience: int = 100  # rounds without a gain that end it
+    least_rows: int | None = None  # of a leaf; by stage unless given
 
 
 class Linkage:
-    """Steps from records to candidate pairs. ``records`` has entity_id, src, country, business_name and business_address."""
+    """Steps from records to candidate pairs. ``records`` has entity_id, src, country, business_name and business_address.
+
+    ``keep`` writes what several steps read, as a production run does; other scripts are then romanised first (without it,
+    records are taken to be in Latin letters, or to have gone through ``latin_records``). ``whole``: the linkage of all
+    records, whose index, reverse lists and prepared records hold for this one of some first-source records, too.
+    """
 
-    def __init__(self, records: DataFrame, truth: DataFrame, settings: Settings, keep: bool = False) -> None:
-        self.records, self.truth, self.settings = records, truth, settings
+    def __init__(self, records: DataFrame, truth: DataFrame, settings: Settings, keep: bool = False, whole: Linkage | None = None) -> None:
+        self.truth, self.settings, self.part = truth, settings, whole is not None
         self.keep = written if keep else lambda df: df
+        self.records = written(latin_records(records)) if keep and whole is None else records
+        if whole is not None:
+            self.__dict__.update({k: getattr(whole, k) for k in ("index23", "reverse", "prepared")})
+
+    def some(self, wanted: DataFrame, keep: bool = False) -> Linkage:
+        """The linkage of those first-source records that ``wanted`` (entity_id) names, against all others."""
+        others = self.records.where("src <> 'S1'")
+        return Linkage(others.unionByName(self.s1.join(wanted.select("entity_id"), "entity_id", "left_semi").select(*others.columns)), self.truth, self.settings, keep, self)
 
     @cached_property
     def s1(self) -> DataFrame:
@@ -83,7 +110,9 @@ class Linkage:
 
     @cached_property
     def united(self) -> DataFrame:
-        return candidates.union_reverse(self.forward, self.reverse)
+        pairs = candidates.union_reverse(self.forward, self.reverse)
+        own = self.s1.select(F.col("entity_id").alias("source1_entity_id"))
+        return pairs.join(own, "source1_entity_id", "left_semi") if self.part else pairs
 
     @cached_property
     def anchored(self) -> DataFrame:
@@ -114,31 +143,65 @@ class Linkage:
         return measure.entity_counts(self.s1, self.truth)
 
 
+def training_part(work: Linkage) -> Linkage:
+    """What is learned from: a share of the first source is left out of the world, and of the rest some give pairs."""
+    s, first = work.settings, work.s1
+    stay = sampling.drop_world(first, s.drop_s1, s.seed + 1)
+    world = Linkage(work.s23.unionByName(stay.select(*work.s23.columns)), work.truth, s, keep=True)
+    return world.some(sampling.fixed_sample(stay, s.n_s1, s.seed), keep=True)
+
+
 def train(work: Linkage) -> tuple[dict, dict]:
-    """(models by stage, selection parameters). Rules and stages are chosen on entities that no model was fitted to."""
-    held = sampling.is_validation(F.col("source1_entity_id"), seed=work.settings.seed)
+    """(models by stage, selection parameters and diagnostics).
+
+    Rounds, rules and stages are chosen on a held-out fifth of the entities. Then the models are fitted again to all of them,
+    with a tenth more rounds.
+    """
+    s, held = work.settings, sampling.is_validation(F.col("source1_entity_id"), seed=work.settings.seed)
+    trees = {"minInstancesPerNode": s.least_rows} if s.least_rows else {}
+    rounds_of = lambda df, stage: model.best_rounds(df.where("NOT held"), df.where("held"), stage, s.rounds, s.patience, **trees)
+    more = lambda stage: max(1, int(1.1 * rounds[stage]))
     rows = written(work.labelled.withColumn("held", held))
-    entities = work.entities.where(sampling.is_validation(F.col("entity_id"), seed=work.settings.seed))
-    models = {1: model.fit(rows.where("NOT held"), 1)}
-    scored = model.predict(models[1], rows, "p1")
-    least = model.prune_threshold(scored.where("NOT held").select(F.round("p1", 9).alias("p1"), "label"), work.settings.stage1_recall)
-    full = written(pairs.pair_features(scored.where(F.round("p1", 9) >= least), work.prepared))
-    models[2] = model.fit(full.where("NOT held"), 2)
-    choices = [(2, model.predict(models[2], full.where("held")))]
-    if work.settings.stage3 != "off":
-        oof = written(model.out_of_fold(full.where("NOT held"), 2).unionByName(model.predict(models[2], full.where("held"), "p2")))
-        third = written(decide.second_order(oof, work.edges))
-        models[3] = model.fit(third.where("NOT held"), 3)
+    entities = written(work.entities.where(sampling.is_validation(F.col("entity_id"), seed=s.seed)))
+    nine = lambda c: F.round(c, 9)
+    rounds, models, final = {1: rounds_of(rows, 1)}, {}, {}
+    models[1] = model.fit(rows.where("NOT held"), 1, rounds[1], **trees)
+    final[1] = model.fit(rows, 1, more(1), **trees)
+    scored = written(model.predict(final[1], model.predict(models[1], rows, "p1"), "f1"))
+    positives = scored.where("held").select(nine("p1").alias("p1"), "label")
+    least = model.prune_threshold(positives, s.stage1_recall)
+    # Kernels run once over the pairs that either of the two models leaves.
+    full = written(pairs.pair_features(scored.where((nine("p1") >= least) | (nine("f1") >= least)), work.prepared))
+    own, every = full.where(nine("p1") >= least), full.where(nine("f1") >= least)
+    rounds[2] = rounds_of(own, 2)
+    models[2] = model.fit(own.where("NOT held"), 2, rounds[2], **trees)
+    choices = [(2, model.predict(models[2], own.where("held")))]
+    if s.stage3 != "off":
+        oof = model.out_of_fold(own.where("NOT held"), 2, rounds=rounds[2], **trees)
+        third = written(decide.second_order(written(oof.unionByName(model.predict(models[2], own.where("held"), "p2"))), work.edges))
+        rounds[3] = rounds_of(third, 3)
+        models[3] = model.fit(third.where("NOT held"), 3, rounds[3], **trees)
         choices.append((3, model.predict(models[3], third.where("held"))))
-    best = None
+    tried = []
     for stage, df in choices:
         p = written(df.select("source1_entity_id", "candidate_entity_id", "p", "label"))
-        for mode, table in (("threshold", decide.tune_threshold(p, entities)), ("expected", decide.tune_expected(p, entities))):
-            found = decide.best_setting(table)
-            wins = best is None or found["f05"] > best["f05"] or (work.settings.stage3 == "on" and stage == 3 and best["stage"] == 2)
-            if wins:
-                best = found | {"stage": stage, "mode": mode}
-    return models, best | {"stage1_threshold": least, "stages": sorted(models)}
+        rules = (("threshold", decide.tune_threshold(p, entities)), ("expected", decide.tune_expected(p, entities)))
+        best = max(({"stage": stage, "mode": mode} | decide.best_setting(table) for mode, table in rules), key=lambda x: x["f05"])
+        loose = decide.select_threshold(p, 0.5, exclusive=False)
+        tried.append(best | {"f05_not_exclusive": decide.macro_f05(loose, entities).first()["f05"]})
+    chosen = tried[-1] if s.stage3 == "on" else max(tried, key=lambda x: x["f05"])
+    final[2] = model.fit(every, 2, more(2), **trees)
+    if chosen["stage"] == 3:
+        oof = written(model.out_of_fold(every, 2, rounds=more(2), **trees))
+        final[3] = model.fit(written(decide.second_order(oof, work.edges)), 3, more(3), **trees)
+    points = decide.operating_points(positives, entities, score="p1")
+    report = {
+        "val_by_stage": {str(t["stage"]): t["f05"] for t in tried}, "rounds": {str(k): v for k, v in rounds.items()}, "n_pairs": rows.count(),
+        "positive_rate": rows.agg(F.avg("label")).first()[0], "oracle_f05": decide.oracle_f05(rows.where("held"), entities).first()[0],
+        "oracle_f05_after_stage1": decide.oracle_f05(own.where("held"), entities).first()[0], "operating_points": [r.asDict() for r in points.orderBy("keep").collect()],
+        "importances": {str(k): model.importances(m) for k, m in final.items()},
+    }
+    return final, chosen | {"stage1_threshold": least, "stages": sorted(final), "report": report}
 
 
 def score(work: Linkage, models: dict, selection: dict) -> DataFrame:
@@ -157,14 +220,26 @@ def choose(scored: DataFrame, selection: dict) -> DataFrame:
     return decide.select_expected(scored, selection["miss"], selection["power"])
 
 
+def learn(work: Linkage, path: str) -> None:
+    """Trains on a part of ``work`` and saves the bundle of models and selection."""
+    models, selection = train(training_part(work))
+    model.save(models, selection, work.records.sparkSession, path)
+
+
 def link(records: DataFrame, truth: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, dict]:
     """(match lists, candidate lists, selection) from records and the truth to learn from."""
     work = Linkage(records, truth, settings, keep=True)
-    models, selection = train(work)
+    spark, bundle = records.sparkSession, shared_folder(records.sparkSession)
+    learn(work, bundle)
+    models, selection = model.load(spark, bundle)
     scored = written(score(work, models, selection))
+    return *lists(work, scored, selection), selection
+
+
+def lists(work: Linkage, scored: DataFrame, selection: dict) -> tuple[DataFrame, DataFrame]:
+    """(match lists, candidate lists) of all first-source records from scored pairs."""
     kept = choose(scored.select("source1_entity_id", "candidate_entity_id", "p"), selection)
-    matches = quality.match_lists(work.s1, kept)
-    return matches, quality.match_lists(work.s1, scored, column="candidate_entity_ids"), selection
+    return quality.match_lists(work.s1, kept), quality.match_lists(work.s1, scored, column="candidate_entity_ids")
 
 
 def documents(spark: SparkSession, sf_dir: str, settings: Settings, keep: bool = False) -> Linkage:
@@ -174,28 +249,25 @@ def documents(spark: SparkSession, sf_dir: str, settings: Settings, keep: bool =
     return Linkage(own, R.document_truth(own), settings, keep)
 
 
-def run_stage(spark: SparkSession, title: str, path: str, make) -> DataFrame:
-    """What a stage wrote, if it has; else makes and writes it. A folder counts once its _SUCCESS marker is there."""
-    jvm = spark._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+def run_stage(spark: SparkSession, title: str, path: str, make, again: bool = False) -> DataFrame:
+    """What a stage wrote, if it has; else, or ``again``, makes and writes it. A folder counts once its _SUCCESS marker is there."""
+    if again or not R.exists(spark, f"{path}/_SUCCESS"):
         spark.sparkContext.setJobDescription(title)
-        make().write.mode("overwrite").parquet(path)
+        made = make()
+        made.write.mode("overwrite").parquet(path)
+        spark.sparkContext.setJobDescription(None)
     return spark.read.parquet(path)
 
 
-def score_in_batches(spark: SparkSession, work: Linkage, models: dict, selection: dict, path: str, batches: int) -> DataFrame:
+def score_in_batches(spark: SparkSession, work: Linkage, models: dict, selection: dict, path: str, batches: int, again: bool = False) -> DataFrame:
     """Scores by hash of the entity, a folder a batch; batches that are written are not computed again.
 
     The folder's name holds a digest of the settings, so other settings never meet its files. All pairs of an entity are in
     one batch, as the third stage needs.
     """
-    import hashlib
-
-    tag = hashlib.md5(repr((work.settings, selection)).encode()).hexdigest()[:12]
+    tag = hashlib.md5(repr((work.settings, selection, batches)).encode()).hexdigest()[:12]
     for i in range(batches):
-        part = sampling.draw(F.col("entity_id"), 0) % batches == i
-        own = Linkage(work.records.where((F.col("src") != "S1") | part), work.truth, work.settings)
-        own.__dict__.update({k: getattr(work, k) for k in ("index23", "reverse", "prepared")})
-        run_stage(spark, f"batch {i + 1} of {batches}", f"{path}/{tag}/batch={i}", lambda own=own: score(own, models, selection))
-    return spark.read.parquet(f"{path}/{tag}")
+        part = work.some(work.s1.where(sampling.draw(F.col("entity_id"), 0) % batches == i))
+        columns = ("source1_entity_id", "candidate_entity_id", "p")
+        run_stage(spark, f"batch {i + 1} of {batches}", f"{path}/{tag}/batch={i}", lambda part=part: score(part, models, selection).select(*columns), again)
+    return spark.read.parquet(f"{path}/{tag}").select("source1_entity_id", "candidate_entity_id", "p")

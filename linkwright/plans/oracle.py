@@ -81,8 +81,8 @@ def no_zeros(x: str) -> str:
     return ZEROS.format(x)
 
 
-def weights(name: str, where: str, idf: str) -> str:
-    return f"{name} AS (SELECT f.entity_id, f.country, f.feature, i.idf / sqrt(sum(i.idf * i.idf) OVER (PARTITION BY f.entity_id)) AS w FROM feat f JOIN {idf} i USING (country, feature) WHERE {where})"
+def weights(name: str, where: str, idf: str, source: str = "feat") -> str:
+    return f"{name} AS (SELECT f.entity_id, f.country, f.feature, i.idf / sqrt(sum(i.idf * i.idf) OVER (PARTITION BY f.entity_id)) AS w FROM {source} f JOIN {idf} i USING (country, feature) WHERE {where})"
 
 
 def index(n: str, where: str, least: float, source: str = "feat") -> str:
@@ -155,6 +155,69 @@ bad AS (SELECT entity_id, CASE doc_id % 11 WHEN 0 THEN ids || ',' || ids WHEN 1
 badids AS (SELECT entity_id, unnest(list_filter(string_split(ids, ','), lambda x: x <> '')) AS id FROM bad)"""
 
 
+def first_normal(c: str) -> str:
+    c = f"coalesce({c}, '')"
+    for wide, plain in T.WIDE.items():
+        c = f"replace({c}, '{wide}', '{plain}')"
+    return f"trim(regexp_replace(replace(lower(strip_accents({c})), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def first_skeletons(tokens: str) -> str:
+    c = f"regexp_replace(array_to_string({tokens}, ' '), '[aeiouyh]', '', 'g')"
+    for x in LETTERS:
+        c = f"regexp_replace({c}, '{x}+', '{x}', 'g')"
+    return f"CASE WHEN len({tokens}) = 0 THEN []::VARCHAR[] ELSE string_split({c}, ' ') END"
+
+
+def variant(i: int, first: bool = False, skeleton: tuple[str, ...] = ("v2",), concat: bool = False, address_skeletons: bool = True) -> str:
+    """Table expressions up to vf{i}, the features of a variant of the bag."""
+    mapped = case("x", T.ADDRESS)
+    address = f"list_transform(a0, lambda x: {mapped})" if first else f"list_transform(list_transform(a0, lambda x: {case('x', T.NUMBER_WORDS)}), lambda x: {mapped})"
+    zeros = (lambda x: x) if first else no_zeros
+    parts = ["list_transform(list_filter(n, lambda x: len(x) >= 2), lambda x: 'n_' || x)", "list_transform(range(1, len(n)), lambda i: 'b_' || n[i] || '_' || n[i + 1])"]
+    parts += [f"list_transform(list_filter({own}, lambda x: len(x) >= 3), lambda x: '{tag}' || x)" for v, own, tag in (("v1", "k1", "k1_"), ("v2", "k2", "k_")) if v in skeleton]
+    if concat:
+        parts.append("list_transform(list_filter(n, lambda x: len(x) >= 8), lambda x: 'c_' || x)")
+        parts += [f"CASE WHEN len(n) >= {k} THEN ['c_' || array_to_string(n[1:{k}], '')] ELSE []::VARCHAR[] END" for k in (2, 3)]
+    parts += [
+        f"list_transform(list_filter(a, lambda x: {number('x')}), lambda x: 'd_' || {zeros('x')})", "list_transform(wa, lambda x: 'a_' || x)",
+        f"list_filter(list_transform(a, lambda x, i: CASE WHEN {number('x')} AND i < len(a) AND NOT {number('a[i + 1]')} THEN 'dw_' || {zeros('x')} || '_' || a[i + 1] END), lambda x: x IS NOT NULL)",
+    ]
+    if address_skeletons:
+        parts.append("list_transform(list_filter(kw, lambda x: len(x) >= 3), lambda x: 'ak_' || x)")
+    text = (first_normal if first else normal)
+    bag = parts[0]
+    for p in parts[1:]:
+        bag = f"list_concat({bag}, {p})"
+    return f"""va{i} AS (SELECT entity_id, src, country, {text('business_name')} AS nm, {text('business_address')} AS ad FROM rec),
+vt{i} AS (SELECT *, list_filter({words('nm')}, lambda x: x NOT IN ({quoted(T.NAME_STOP)})) AS n, {words('ad')} AS a0 FROM va{i}),
+vb{i} AS (SELECT *, {address} AS a FROM vt{i}),
+vc{i} AS (SELECT *, {first_skeletons('n')} AS k1, {skeletons('n')} AS k2, list_filter(a, lambda x: NOT {number('x')} AND len(x) >= 3) AS wa FROM vb{i}),
+vd{i} AS (SELECT *, {skeletons('wa')} AS kw FROM vc{i}),
+vf{i} AS (SELECT entity_id, src, country, unnest(list_distinct({bag})) AS feature FROM vd{i})"""
+
+
+def found(i: str, source: str, least: float, k: int) -> str:
+    """Table expressions up to fo{i}, the k best pairs by the features of ``source``."""
+    own = f"x{i}"
+    return ",\n".join([index(own, "src <> 'S1'", least, source), weights(f"{own}p", "f.src <> 'S1'", f"idf{own}", source), weights(f"{own}q", "f.src = 'S1'", f"idf{own}", source), top(f"fo{i}", f"{own}q", f"{own}p", k, "source1_entity_id", "candidate_entity_id")])
+
+
+def ablation(variants: dict[str, tuple[dict, bool]], least: float, k: int) -> tuple[str, str]:
+    """(the final SELECT, further table expressions) of the recall of each variant's k best pairs."""
+    tables, selects = [], []
+    for i, (name, (options, views)) in enumerate(variants.items()):
+        tables += [variant(i, **options), found(str(i), f"vf{i}", least, k // 2 if views else k)]
+        sets = [f"fo{i}"]
+        for side, prefixes in (("n", ("n", "k", "k1", "b", "c")), ("a", ("d", "dw", "a", "ak"))) if views else ():
+            tables += [f"vw{i}{side} AS (SELECT * FROM vf{i} WHERE split_part(feature, '_', 1) IN ({quoted(prefixes)}))", found(f"{i}{side}", f"vw{i}{side}", least, k // 4)]
+            sets.append(f"fo{i}{side}")
+        pairs = f"({' UNION '.join(f'SELECT source1_entity_id, candidate_entity_id FROM {x}' for x in sets)})"
+        hits = f"SELECT count(*) FROM truth JOIN {pairs} USING (source1_entity_id, candidate_entity_id)"
+        selects.append(f"SELECT '{name}' AS variant, round(({hits}) / (SELECT count(*) FROM truth), 6) AS recall, (SELECT count(*) FROM {pairs}) AS pairs")
+    return "\nUNION ALL ".join(selects), ",\n".join(tables)
+
+
 def one_to_one(source: str, keys: str = "") -> str:
     return f"(SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {keys} candidate_entity_id ORDER BY p DESC, source1_entity_id) = 1)"
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,13 +22,31 @@ class Places:
     def source(self, split: str, number: int) -> str:
         return f"{self.data}/{split}/{split}_source{number}.tsv"
 
+    def truth(self, split: str) -> str:
+        return f"{self.data}/{split}/{split}_ground_truth.tsv"
+
     def artefact(self, name: str) -> str:
         return f"{self.work}/{name}"
 
 
-def find_training_folder(top: str) -> str | None:
-    """The first folder ``train`` under a local input root."""
-    return next((str(p.parent) for p in sorted(Path(top).rglob("train")) if p.is_dir()), None)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def find_training_folder(spark: SparkSession, top: str, depth: int = 4) -> str | None:
+    """The first folder under an input root, by name and at most so deep, that holds a folder ``train``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(top)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    level = [place] if store.exists(place) else []
+    for _ in range(depth):
+        below = [x.getPath() for p in level for x in store.listStatus(p) if x.isDirectory()]
+        found = sorted(str(p.getParent()) for p in below if p.getName() == "train")
+        if found:
+            return found[0]
+        level = below
+    return None
 
 
 def read_tsv(spark: SparkSession, paths: str | list[str], schema: str = RECORD) -> DataFrame:
@@ -44,8 +61,8 @@ def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The distinct first fields of a file's lines after the header; blank lines don't count."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.split("value", "\t")[0].alias("entity_id")).where(~F.col("entity_id").isin("entity_id", "source1_entity_id")).distinct()
+    lines = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return lines.select(F.col(lines.columns[0]).alias("entity_id")).where(F.trim("entity_id") != "").distinct()
 
 
 def only(records: DataFrame, ids: DataFrame, id_col: str = "entity_id") -> DataFrame:

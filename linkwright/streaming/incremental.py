@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from linkwright.functions.scripts import latin_records
 from linkwright.operators import bag, retrieve
 from linkwright.sources.records import RECORD
 
@@ -19,7 +20,7 @@ def resolve_stream(records: DataFrame, index_path: str, out: str, checkpoint: st
 
     def each(batch: DataFrame, number: int) -> None:
         postings, idf = retrieve.load_index(batch.sparkSession, index_path)
-        found = retrieve.forward(bag.bags(batch.na.fill("")), (postings, idf), k)
+        found = retrieve.forward(bag.bags(latin_records(batch.na.fill(""))), (postings, idf), k)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
