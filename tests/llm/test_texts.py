@@ -61,6 +61,15 @@ def test_dots_in_sentences_are_no_addresses(text):
     assert [s for s in personal.find(text)[1] if s[0] == "email"] == []
 
 
+def test_added_spans_that_overlap_one_of_the_text_stay():
+    text = "write b\u043eb@gmail.com, or call +1 555 123 456\uff17"
+    base, added = personal.find(text)
+    assert [(k, text[s:e]) for k, s, e in base] == [("email", "b@gmail.com"), ("phone", "+1 555 123 456")]
+    assert [(k, text[s:e]) for k, s, e in added] == [("email", "b\u043eb@gmail.com"), ("phone", "+1 555 123 456\uff17")]
+    assert personal.masked(text) == "write <EMAIL>, or call <PHONE>"
+    assert personal.find("a@b.co [at] c.de")[0] == [("email", 0, 6)]
+
+
 def test_masks_leave_the_rest():
     text = "mail a@b.co, +1 555 123 4567 or 1.2.3.4."
     assert personal.masked(text) == "mail <EMAIL>, <PHONE> or <IP>." and personal.masked(None) is None and personal.masked("clean") == "clean"
