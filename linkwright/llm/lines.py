@@ -1,7 +1,8 @@
 """Line-first cleaning of texts (operator 3).
 
-Every line is judged by rules for punctuation, navigation and boilerplate, and short lines without a mark at the end by
-their neighbours too: some in a row are a menu, while a heading stays. Failing lines are removed, and a document that
+Every line is judged by rules for punctuation, navigation and boilerplate. A long line has to end in a mark of its script's
+(anything but a letter or digit counts); short lines without one are judged by their neighbours: some in a row are a menu,
+while a heading stays. Failing lines are removed, and a document that
 loses too much of its text, or keeps too few words, is rejected. Beside that stand base counts of the whole text, of which
 two thresholds reject a document outright.
 
@@ -35,12 +36,15 @@ MAX_SHOUTING = 0.5  # share of a line's words in capitals, of lines with at leas
 SHOUT_WORDS = 6
 MAX_SAME_WORD = 0.5  # share of a line's words that follow the same word
 MAX_PUNCTUATION = 0.5  # share of a line's characters that are neither letters, digits nor marks of letters
+LONG_WORDS = 12  # a line of so many words is prose, which ends in a mark
 MENU_LINES, MENU_WORDS = 4, 4  # a menu: lines in a row, apart from blank ones, of so few words and without a mark at the end
 MAX_LOST = 0.5  # share of a text's word characters that removed lines may hold
 SEPARATORS = frozenset("| » « › ‹ > < / • · – — - ::".split())
 NO_MARK = re.compile(r"[^\W_]\Z")
 #: Scripts without spaces: each letter counts as a word, as else a sentence would be one.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Scripts that end sentences with a space or nothing: Thai, Lao, Khmer and the like.
+NO_MARKS = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u1950-\u19ff]")
 SEPARATOR = re.compile(r"[|»«›‹<>/•·–—:-]")
 BOILERPLATE = re.compile(
     r"(?i)^\W*(?:accept (?:all )?cookies|all rights reserved|back to top|click here|cookie (?:policy|settings)|copyright\b.{0,40}\b\d{4}"
@@ -79,7 +83,7 @@ def line_verdict(line: str, words: list[str]) -> str:
             return "repetition"
     if n <= 12 and BOILERPLATE.match(line):
         return "boilerplate"
-    return ""
+    return "unfinished" if n >= LONG_WORDS and NO_MARK.search(words[-1]) and not NO_MARKS.search(line) else ""
 
 
 def repeated_words(words: list) -> int:

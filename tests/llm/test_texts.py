@@ -105,7 +105,8 @@ def test_line_counts_of_long_texts():
 @pytest.mark.parametrize(
     ("line", "rule"),
     [("Home | News | Sport | Login", "navigation"), ("buy### now$$$ cheap%%% pills***", "symbols"), ("READ THIS NOW AND BUY IT!!", "shouting"), ("no no no no no no no", "repetition"), ("Accept all cookies", "boilerplate"),
-     ("The river rose in spring, and nobody in the village was surprised.", ""), ("Der Fluss stieg im Frühjahr.", ""), ("一つの文章です。", ""), ("x", "")],
+     ("The river rose in spring, and nobody in the village was surprised.", ""), ("Der Fluss stieg im Frühjahr.", ""), ("The river rose in spring and nobody in the village was surprised by", "unfinished"), ("Die Leute am Fluss standen lange da und sahen dem Wasser nach, das kam", "unfinished"),
+     ("नदी वसंत में बढ़ी और गाँव में किसी को भी इससे कोई आश्चर्य नहीं हुआ।", ""), ("แม่น้ำ ขึ้น ใน ฤดู ใบไม้ผลิ และ ไม่มี ใคร ใน หมู่บ้าน แปลกใจ เลย สัก คน", ""), ("A heading of a few words", ""), ("一つの文章です。", ""), ("x", "")],
 )
 def test_line_rules(line, rule):
     assert lines.line_verdict(line, line.split()) == rule
@@ -114,6 +115,7 @@ def test_line_rules(line, rule):
 def test_documents_that_lose_too_much_are_rejected():
     good = "The river rose in spring, and nobody in the village was surprised by it at all."
     assert lines.clean(good)[7] and not lines.clean("\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(9)))[7]
+    assert not lines.clean("\n".join(f"line {i} goes on and on for a good many words without any end to" for i in range(3)))[7]
     kept = lines.clean(good + "\nHome | News | Sport | Login")
     assert kept[7] and kept[8] == good
 
