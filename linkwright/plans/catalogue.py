@@ -303,15 +303,30 @@ def jaro_winkler(w) -> DataFrame:
     return _sides(w, pairs.prepare(w.records)).withColumn("k", kernels(F.col("a.name"), F.col("b.name"), "jw")).select(*PAIR, F.round("k.jw", 6).alias("name_jw"))
 
 
-@query()
+NAMES = "strs AS (SELECT 'name' AS kind, a.name AS a, b.name AS b FROM pairs)"
+
+
+@query(f"SELECT source1_entity_id, candidate_entity_id, {six_sql('ratio', 'tset', 'tsort')}, round(part, 6) AS partial FROM pairs JOIN ker k ON k.ka = a.name AND k.kb = b.name", f"{NAMES}, {oracle.kernel_tables('strs')}")
 def string_ratios(w) -> DataFrame:
     df = _sides(w, pairs.prepare(w.records)).withColumn("k", kernels(F.col("a.name"), F.col("b.name"), "ratio", "tset", "tsort", "partial"))
-    return df.select(*PAIR, "k.ratio", "k.tset", "k.tsort", "k.partial")
+    return df.select(*PAIR, *[F.round(f"k.{c}", 6).alias(c) for c in ("ratio", "tset", "tsort", "partial")])
+
+
+#: The strings that each kind of kernel compares, of both sides, and the kernels of each kind.
+KINDS = {"name": "name", "core": "core_name", "concat": "concat", "skel": "skel", "addr": "addr"}
+KERNEL_SQL = {f"{kind}_{name}": f"{kind}.{'part' if name == 'partial' else name}" for kind, names in (("name", ("ratio", "tset", "tsort", "partial")), ("core", ("ratio", "tset", "partial")), ("skel", ("ratio", "tset")), ("addr", ("ratio", "tset", "partial"))) for name in names}
+KERNEL_SQL |= {"core_concat_ratio": "concat.ratio", "name_jw": "CASE WHEN a.name = '' AND b.name = '' THEN 1 ELSE jaro_winkler_similarity(a.name, b.name) END"}
+_whole = f"""prep2 AS (SELECT *, array_to_string(core, ' ') AS core_name, array_to_string({skeletons('core')}, ' ') AS skel, array_to_string(at_, ' ') AS addr FROM prep),
+pairs2 AS (SELECT f.source1_entity_id, f.candidate_entity_id, a, b FROM fwd f JOIN prep2 a ON a.entity_id = source1_entity_id JOIN prep2 b ON b.entity_id = candidate_entity_id),
+strs AS ({' UNION ALL '.join(f"SELECT '{kind}' AS kind, a.{c} AS a, b.{c} AS b FROM pairs2" for kind, c in KINDS.items())}), {oracle.kernel_tables('strs')},
+over AS (SELECT source1_entity_id, candidate_entity_id, {_shares('name')}, {_shares('addr')} FROM (SELECT source1_entity_id, candidate_entity_id, {_overlap('name')}, {_overlap('addr')} FROM fwd f))"""
+_joins = " ".join(f"JOIN ker {kind} ON {kind}.kind = '{kind}' AND {kind}.ka = a.{c} AND {kind}.kb = b.{c}" for kind, c in KINDS.items())
+_weights = [f"{side}_w_{x}" for side in ("name", "addr") for x in ("jacc", "cov_a", "cov_b", "miss_a", "miss_b")]
 
 
-@query(keep=True)
+@query(f"SELECT source1_entity_id, candidate_entity_id, {_double(SET_SQL | NUMBER_SQL | KERNEL_SQL)}, {', '.join(_weights)} FROM pairs2 {_joins} JOIN over USING (source1_entity_id, candidate_entity_id)", _whole, keep=True)
 def pair_features(w) -> DataFrame:
-    return pairs.pair_features(w.forward.select(*PAIR), w.prepared)
+    return pairs.pair_features(w.forward.select(*PAIR), w.prepared).select(*PAIR, *six(*pairs.STRING))
 
 
 # Truth and recall.

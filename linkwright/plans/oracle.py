@@ -218,6 +218,37 @@ def ablation(variants: dict[str, tuple[dict, bool]], least: float, k: int) -> tu
     return "\nUNION ALL ".join(selects), ",\n".join(tables)
 
 
+def kernel_tables(source: str) -> str:
+    """Table expressions up to ker (kind, ka, kb, ratio, tset, tsort, part) for the rows of ``source`` (kind, a, b).
+
+    Every longest common subsequence that is asked for is found once, with a row of its table in the bits of one number.
+    """
+    sets = "list_sort(list_distinct({}))"
+    ratio = lambda x, y, n: f"CASE WHEN len({x}) + len({y}) = 0 THEN 100 ELSE 200::DOUBLE * {n} / (len({x}) + len({y})) END"
+    window = "substr({0}, greatest(0, s) + 1, s + len({1}) - greatest(0, s))"
+    return f"""sd AS (SELECT DISTINCT kind, a, b FROM {source}),
+sw AS (SELECT *, list_filter(string_split(a, ' '), lambda x: x <> '') AS ta, list_filter(string_split(b, ' '), lambda x: x <> '') AS tb FROM sd),
+sp AS (SELECT kind, a, b, len(ta) > 0 AND len(tb) > 0 AS both_, array_to_string(list_sort(ta), ' ') AS oa, array_to_string(list_sort(tb), ' ') AS ob,
+  array_to_string({sets.format('list_intersect(ta, tb)')}, ' ') AS x0, array_to_string({sets.format('list_filter(ta, lambda x: NOT list_contains(tb, x))')}, ' ') AS xa,
+  array_to_string({sets.format('list_filter(tb, lambda x: NOT list_contains(ta, x))')}, ' ') AS xb FROM sw),
+sf AS (SELECT *, trim(x0 || ' ' || xa) AS fa, trim(x0 || ' ' || xb) AS fb FROM sp),
+win AS (SELECT DISTINCT kind, a, b, a AS s1, {window.format('b', 'a')} AS s2 FROM (SELECT *, unnest(range(1 - len(a), len(b))) AS s FROM sd WHERE a <> '' AND b <> '' AND len(a) <= len(b))
+  UNION SELECT DISTINCT kind, a, b, b, {window.format('a', 'b')} FROM (SELECT *, unnest(range(1 - len(b), len(a))) AS s FROM sd WHERE a <> '' AND b <> '' AND len(b) <= len(a))),
+kneed AS (SELECT a AS x, b AS y FROM sf UNION SELECT oa, ob FROM sf UNION SELECT fa, fb FROM sf UNION SELECT x0, fa FROM sf UNION SELECT x0, fb FROM sf UNION SELECT s1, s2 FROM win),
+turned AS (SELECT x, y, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS p, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS q FROM kneed),
+bits AS (SELECT DISTINCT p, q, string_split(p, '') AS ps, (1::HUGEINT << len(p)::HUGEINT) - 1 AS full_ FROM turned),
+lcs0 AS (SELECT p, q, CASE WHEN p = '' THEN 0 ELSE len(p) - bit_count(list_reduce(
+  list_transform(string_split(q, ''), lambda c: list_sum(list_transform(ps, lambda z, i: CASE WHEN z = c THEN 1::HUGEINT << (i - 1)::HUGEINT ELSE 0::HUGEINT END))::HUGEINT),
+  lambda v, k: ((v + (v & k)) | (v - (v & k))) & full_, full_)) END AS n FROM bits),
+lcs AS (SELECT x, y, n FROM turned JOIN lcs0 USING (p, q)),
+kbest AS (SELECT kind, a, b, max({ratio('s1', 's2', 'n')}) AS part FROM win JOIN lcs ON x = s1 AND y = s2 GROUP BY ALL),
+ker AS (SELECT f.kind, f.a AS ka, f.b AS kb, {ratio('f.a', 'f.b', 'l1.n')} AS ratio, {ratio('oa', 'ob', 'l2.n')} AS tsort,
+  CASE WHEN NOT both_ THEN 0 WHEN x0 <> '' AND (xa = '' OR xb = '') THEN 100 WHEN x0 <> '' THEN greatest({ratio('fa', 'fb', 'l3.n')}, {ratio('x0', 'fa', 'l4.n')}, {ratio('x0', 'fb', 'l5.n')}) ELSE {ratio('fa', 'fb', 'l3.n')} END AS tset,
+  CASE WHEN f.a = '' AND f.b = '' THEN 100 ELSE coalesce(part, 0) END AS part
+  FROM sf f JOIN lcs l1 ON l1.x = f.a AND l1.y = f.b JOIN lcs l2 ON l2.x = oa AND l2.y = ob JOIN lcs l3 ON l3.x = fa AND l3.y = fb JOIN lcs l4 ON l4.x = x0 AND l4.y = fa JOIN lcs l5 ON l5.x = x0 AND l5.y = fb
+  LEFT JOIN kbest USING (kind, a, b))"""
+
+
 def one_to_one(source: str, keys: str = "") -> str:
     return f"(SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {keys} candidate_entity_id ORDER BY p DESC, source1_entity_id) = 1)"
 
