@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,16 +53,24 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def _windows(short: str, long: str) -> float:
+    """Windows by the falling number of letters that they share with the short string, until no other can be better."""
     if not short or not long:
         return 100.0 if not short and not long else 0.0
-    n, letters, best = len(short), set(short), 0.0
+    n, free, shared, bounds = len(short), Counter(short), 0, []
     for start in range(1 - n, len(long)):
-        window = long[max(0, start) : start + n]
-        edge = window[-1] if start <= 0 else window[0]
-        if edge in letters or 0 < start < len(long) - n and window[-1] in letters:
-            best = max(best, ratio(short, window))
-            if best == 100.0:
-                break
+        if start + n <= len(long):
+            shared += free[long[start + n - 1]] > 0
+            free[long[start + n - 1]] -= 1
+        if start > 0:
+            free[long[start - 1]] += 1
+            shared -= free[long[start - 1]] > 0
+        size = min(len(long), start + n) - max(0, start)
+        bounds.append((200.0 * shared / (n + size), start))
+    best = 0.0
+    for bound, start in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        best = max(best, ratio(short, long[max(0, start) : start + n]))
     return best
 
 
