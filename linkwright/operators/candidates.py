@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkwright.operators import retrieve as R
 
 PAIR = ["source1_entity_id", "candidate_entity_id"]
+# The names of the context features, in the order of the models.
 CONTEXT = ["score", "rank", "score_rel", "score_gap_best", "fwd", "rscore", "rev_rank", "rev_score_rel", "rev_gap", "rev_margin", "rev_is_best", "rev_best", "a_n_revbest", "is_anchor", "sib_n", "sib_best"]
 
 

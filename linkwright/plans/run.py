@@ -35,8 +35,9 @@ def options(arguments: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--rebuild", action="store_true", help="makes every stage again")
     p.add_argument("--batches", type=int, default=8, help="parts of the first source that are scored one after the other")
     p.add_argument("--stage3", choices=MODES, default=own.stage3)
-    for name, kind in (("n_s1", int), ("top_k", int), ("reverse_k", int), ("siblings", int), ("seed", int), ("rounds", int), ("patience", int), ("least_rows", int), ("drop_s1", float), ("stage1_recall", float), ("min_idf", float)):
-        p.add_argument("--" + name.replace("_", "-"), type=kind, default=getattr(own, name))
+    whole = ("n_s1", "top_k", "reverse_k", "siblings", "seed", "rounds", "patience", "least_rows")
+    for name in (*whole, "drop_s1", "stage1_recall", "min_idf"):
+        p.add_argument("--" + name.replace("_", "-"), type=int if name in whole else float, default=getattr(own, name))
     return p.parse_args(arguments)
 
 

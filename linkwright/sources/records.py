@@ -56,7 +56,8 @@ def read_tsv(spark: SparkSession, paths: str | list[str], schema: str = RECORD)
 
 def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """A folder of files with headers; an empty value is written as nothing."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    kept = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(**kept).csv(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
