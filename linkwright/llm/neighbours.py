@@ -1,8 +1,8 @@
 """Approximate nearest neighbours (operator 9): hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node, which keeps the ids that can be among the nearest. Nodes are dealt by hash to shards of about
-``shard`` nodes, 4,096 for small tables and a 64th of the nodes, but not above 65,536, for large ones; each shard builds its graph and stores it as flat arrays (vectors, levels, neighbour lists of fixed
-width). A set of queries is searched in every shard, in blocks, and the shards' results are merged; distances are then
+``shard`` nodes, 4,096 for small tables and a 64th of the nodes, but not above 65,536, for large ones; each shard builds its
+graph and stores it as flat arrays (vectors, levels, neighbour lists of fixed width). A set of queries is searched in every shard, in blocks, and the shards' results are merged; distances are then
 Euclidean ones in double precision on the original vectors. Every valid row is indexed.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, take

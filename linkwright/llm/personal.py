@@ -261,7 +261,8 @@ def digest(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: ~s["added"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"))
+    every, added = F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), every, added)
 
 
 def reference(text: str | None) -> tuple:

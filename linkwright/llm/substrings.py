@@ -33,7 +33,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -195,7 +194,10 @@ def settle(left: list[bytes], right: list[bytes], shard: np.ndarray, low: np.nda
                 continue
             at_left[by_left] = np.cumsum(common_left < l)
             at_right[by_right] = np.cumsum(common_right < length - l)
-            pair = (shard[rows] * (n + 1) + at_left[rows]) * (n + 1) + at_right[rows] if n < 1_000_000 else np.unique(np.stack([shard[rows], at_left[rows], at_right[rows]]), axis=1, return_inverse=True)[1]
+            if n < 1_000_000:
+                pair = (shard[rows] * (n + 1) + at_left[rows]) * (n + 1) + at_right[rows]
+            else:
+                pair = np.unique(np.stack([shard[rows], at_left[rows], at_right[rows]]), axis=1, return_inverse=True)[1]
             _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
             hit[rows[count[which] > 1], l - first] = True
         for i in np.flatnonzero(hit.any(1)):
@@ -274,7 +276,9 @@ def contexts(nodes: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                     for r in rows:
                         b = r["at"]
                         out.append((node, r["key"], b, r["low"], r["high"], data[max(0, b - r["high"] + 1) : b][::-1], data[b : b + length - r["low"]]))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["node", "key", "at", "low", "high", "left", "right"]).astype({"at": "int32", "low": "int32", "high": "int32"}), preserve_index=False)
+                names = ["node", "key", "at", "low", "high", "left", "right"]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     return both.mapInArrow(run, "node bigint, key bigint, at int, low int, high int, left binary, right binary")
 
@@ -333,7 +337,8 @@ def repeated(nodes: DataFrame, length: int) -> DataFrame:
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("node") < F.max("node")).alias("elsewhere")).where("n > 1").select("key", "elsewhere")
     shared = written(rows.join(often, "key"))
     forget(rows)
-    seen = shared.where("elsewhere AND low IN (0, -1)").select("node", "at", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.when(F.col("low") == 0, anchor(length)).otherwise(length).alias("shared"))
+    none, size = F.lit(None).cast("int"), F.when(F.col("low") == 0, anchor(length)).otherwise(length)
+    seen = shared.where("elsewhere AND low IN (0, -1)").select("node", "at", none.alias("first"), none.alias("last"), size.alias("shared"))
     shared = shared.where("high > 0").drop("elsewhere")
     # Equal contexts settle their rows; of each context one row goes on to meet the key's other contexts.
     same = shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "at", "low", "high")).alias("row"))
@@ -377,13 +382,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     data = unpacked(value.as_buffer())
                     n, found = len(data), found or []
                     whole = [(0, n)] if copies > 1 else []
-                    # A string must fit.
-                    own = whole if whole and n >= length else covered(n, [(s["at"] - s["last"], s["at"] - first + length) for s in found if not s["shared"] and (first := max(s["first"], s["at"] + length - n)) <= s["last"]])
+                    strings = [s for s in found if not s["shared"]]
+                    fitting = [(s["at"] - s["last"], s["at"] - first + length) for s in strings if (first := max(s["first"], s["at"] + length - n)) <= s["last"]]
+                    elsewhere = [(s["at"], s["at"] + s["shared"]) for s in found if s["shared"]]
+                    own = whole if whole and n >= length else covered(n, fitting)
                     removed.append(pairs_of(own))
-                    passages.append(pairs_of(whole if whole and n >= least else covered(n, [(s["at"], s["at"] + s["shared"]) for s in found if s["shared"]])))
+                    passages.append(pairs_of(whole if whole and n >= least else covered(n, elsewhere)))
                     edges = [0, *(x for span in own for x in span), n]
                     kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_bytes"), pa.array(removed, kind), pa.array(passages, kind), pa.array(kept, pa.binary())], names=["node", "n_bytes", "removed", "passages", "kept"])
+                columns = [part.column("node"), part.column("n_bytes"), pa.array(removed, kind), pa.array(passages, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n_bytes", "removed", "passages", "kept"])
 
     spans_type = "array<struct<start:bigint,end:bigint>>"
     texts = both.select("node", "n_bytes", "copies", "packed", "spans").mapInArrow(run, f"node bigint, n_bytes bigint, removed {spans_type}, passages {spans_type}, kept binary")

@@ -62,12 +62,13 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id
     digest, uri, own = F.concat(F.lit("sha1:"), "digest"), {"WARC-Target-URI": F.col("url")}, F.concat(F.lit("<"), "own", F.lit(">"))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + BREAK)
     kept = record("response", F.col("own"), uri | {"WARC-Payload-Digest": digest}, "application/http; msgtype=response", F.concat(http, "html"))
-    again = record(
-        "revisit", F.col("own"), uri | {"WARC-Payload-Digest": digest, "WARC-Profile": F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), "WARC-Refers-To": F.concat(F.lit("<"), "first", F.lit(">"))},
-        "application/http; msgtype=response", http,
-    )
+    profile = F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    refers = {"WARC-Payload-Digest": digest, "WARC-Profile": profile, "WARC-Refers-To": F.concat(F.lit("<"), "first", F.lit(">"))}
+    again = record("revisit", F.col("own"), uri | refers, "application/http; msgtype=response", http)
     asked = record("request", urn("request"), uri | {"WARC-Concurrent-To": own}, "application/http; msgtype=request", F.concat(F.lit("GET "), "url", F.lit(" HTTP/1.1" + BREAK)))
-    about = record("metadata", urn("metadata"), uri | {"WARC-Concurrent-To": own}, "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload-bytes: "), F.octet_length("html").cast("string"), F.lit("\r\n")))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    fields = F.concat(F.lit("page-id: "), page, F.lit("\r\npayload-bytes: "), F.octet_length("html").cast("string"), F.lit("\r\n"))
+    about = record("metadata", urn("metadata"), uri | {"WARC-Concurrent-To": own}, "application/warc-fields", fields)
     return rows.select(F.explode(F.array(asked, F.when(F.col("first").isNull() | (F.col("first") == F.col("own")), kept).otherwise(again), about)).alias("value"))
 
 
@@ -163,7 +164,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
                     digest = headers.get("warc-payload-digest")
                     good = sha1_name(payload) == digest if digest and headers["warc-type"] == "response" else None
-                    rows.append((ref("warc-record-id"), headers["warc-type"], ref("warc-concurrent-to"), ref("warc-refers-to"), headers.get("warc-target-uri"), headers.get("warc-date"), digest, headers.get("content-type"), good, payload))
+                    names = ref("warc-record-id"), headers["warc-type"], ref("warc-concurrent-to"), ref("warc-refers-to")
+                    rows.append((*names, headers.get("warc-target-uri"), headers.get("warc-date"), digest, headers.get("content-type"), good, payload))
                     size += len(payload)
                     if len(rows) == 512 or size > PIECE:
                         yield made(rows)
@@ -196,7 +198,8 @@ def digest(pages: DataFrame) -> DataFrame:
     # What isn't asked for needn't be shuffled: blocks of responses are measured where they are parsed.
     found = read_archive(spark, path)
     shown = F.when(F.col("type") == "metadata", F.col("block"))
-    found = found.withColumn("bytes", F.when(F.col("type") == "response", F.octet_length("block"))).withColumn("digest", F.when(F.col("type") == "response", base32_sha1(F.col("block")))).withColumn("block", shown)
+    own = lambda c: F.when(F.col("type") == "response", c)
+    found = found.withColumns({"bytes": own(F.octet_length("block")), "digest": own(base32_sha1(F.col("block")))}).withColumn("block", shown)
     all_ = assemble(found.select("record_id", "type", "concurrent_to", "refers_to", "payload_digest", "bytes", "digest", "block"))
     text = F.decode(F.col("metadata.block"), "UTF-8")
     got = all_.select(
@@ -210,6 +213,5 @@ def digest(pages: DataFrame) -> DataFrame:
     out = looked_up(got, F.col("to"), F.col("own"), target.join(asked, F.col("of") == F.col("to")).drop("to"))
     kind = pages.schema["page_id"].dataType
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast(kind))
-    return out.select(
-        number("page_id").alias("page_id"), F.coalesce("own_bytes", "of_bytes").alias("payload_bytes"), F.coalesce("own_digest", "of_digest").alias("payload_digest"), "record_type", number("of_page").alias("refers_to"),
-    )
+    size, name = F.coalesce("own_bytes", "of_bytes").alias("payload_bytes"), F.coalesce("own_digest", "of_digest").alias("payload_digest")
+    return out.select(number("page_id").alias("page_id"), size, name, "record_type", number("of_page").alias("refers_to"))
