@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,11 +48,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top}/linkwright-{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Folders that ``written`` wrote, for each block of ``scratch`` that is open.
+OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What ``written`` writes inside is deleted at the end, but for what is taken off the list that this gives."""
+    OPEN.append(made := [])
+    try:
+        yield made
+    finally:
+        OPEN.pop()
+        for path in made:
+            deleted(spark, path)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what ``written`` wrote for ``df``, which nothing may read any more."""
-    for path in {f.rpartition("/linkwright-")[0] + "/linkwright-" + f.rpartition("/linkwright-")[2].split("/")[0] for f in df.inputFiles() if "/linkwright-" in f}:
-        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    folders = {f"{top}/linkwright-{rest.split('/')[0]}" for top, mark, rest in (f.rpartition("/linkwright-") for f in df.inputFiles()) if mark}
+    for path in folders:
+        deleted(df.sparkSession, path)
 
 
 def written(df: DataFrame, *partitioned: str) -> DataFrame:
@@ -59,6 +81,8 @@ def written(df: DataFrame, *partitioned: str) -> DataFrame:
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*partitioned) if partitioned else out).parquet(path)
+    if OPEN:
+        OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,16 +115,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     """Adds ``name``: the rank from 0 of each row within ``keys``, by ``spread`` and then ``order``.
 
     A key may hold most rows: rows are ranked within (key, spread), and the counts of those buckets, a table bounded by
-    keys times distinct values of ``spread``, are summed up to the offset of each bucket.
+    keys times distinct values of ``spread`` (never null), are summed up to the offset of each bucket.
     """
+    # Null keys get a value and a mark, so that the join is on plain columns, by which the window has dealt the rows already.
+    dealt = []
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        df = df.withColumns({f"_k{i}": F.coalesce(F.col(k), F.lit("" if kind.simpleString() == "string" else 0).cast(kind)), f"_n{i}": F.col(k).isNull()})
+        dealt += [f"_k{i}", f"_n{i}"]
     df = df.withColumn("_spread", spread)
-    sizes = df.groupBy(*keys, "_spread").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_spread").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_spread").alias("_bucket"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*keys, "_spread").orderBy(*order)
+    sizes = df.groupBy(*dealt, "_spread").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*dealt).orderBy("_spread").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*dealt, "_spread", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*dealt, "_spread").orderBy(*order)
     rows = df.withColumn("_within", F.row_number().over(within) - 1)
-    same = [rows[k].eqNullSafe(offsets[f"_{k}"]) for k in keys] + [rows["_spread"].eqNullSafe(offsets["_bucket"])]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return rows.join(offsets, on).withColumn(name, F.col("_offset") + F.col("_within")).drop("_spread", "_bucket", "_offset", "_within", *[f"_{k}" for k in keys])
+    return rows.join(offsets, [*dealt, "_spread"]).withColumn(name, F.col("_offset") + F.col("_within")).drop("_spread", "_offset", "_within", *dealt)

@@ -64,7 +64,8 @@ def target_weights(counts: DataFrame, weights: dict[str | None, float] | None, b
     sizes = counts.select("source", F.ceil(F.col("n") / block).alias("blocks"), F.round(weigh, 6).alias("w"))
     one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", "blocks", "w"))).alias("s"), F.sum("w").alias("sum")).where(F.size("s") > 0)  # as many as there are sources
     exact = F.forall("s", lambda x: x["w"] == F.floor(x["w"])) & (F.col("sum") <= PARTS)
-    parts = F.when(F.col("exact"), F.transform("s", lambda x: x["w"].cast("long"))).otherwise(F.transform("s", lambda x: F.greatest(F.lit(1).cast("long"), F.round(x["w"] / F.col("sum") * PARTS).cast("long"))))
+    part = lambda x: F.greatest(F.lit(1).cast("long"), F.round(x["w"] / F.col("sum") * PARTS).cast("long"))
+    parts = F.when(F.col("exact"), F.transform("s", lambda x: x["w"].cast("long"))).otherwise(F.transform("s", part))
     one = one.withColumn("exact", exact).select(F.col("s.source").alias("source"), F.col("s.blocks").alias("blocks"), parts.alias("w"))
     one = one.withColumn("total", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x))
     ends = F.array_min(F.zip_with("blocks", "w", lambda b, w: deadline(b, w, F.col("total"))))  # of the blocks that a source lacks
@@ -91,8 +92,9 @@ def run_epoch(waiting: Column) -> Column:
         may = F.filter("all", lambda i: item(state["done"], i) * F.col("total") < (slot + 1) * item("w", i))
         due = F.transform(may, lambda i: F.struct(deadline(item(state["done"], i), item("w", i), F.col("total")).alias("d"), i.alias("i")))
         pick = F.coalesce(F.array_min(due)["i"], F.lit(-1))
-        # An array of one holds the pick, so that it is found once a slot.
-        return item(F.transform(F.array(pick), lambda p: F.struct(F.transform(state["done"], lambda d, i: d + (i == p).cast("long")).alias("done"), F.concat(state["ran"], F.array(p)).alias("ran"))), F.lit(0))
+        done = lambda p: F.transform(state["done"], lambda d, i: d + (i == p).cast("long"))
+        after = lambda p: F.struct(done(p).alias("done"), F.concat(state["ran"], F.array(p)).alias("ran"))
+        return item(F.transform(F.array(pick), after), F.lit(0))  # an array of one holds the pick, so that it is found once a slot
 
     return F.aggregate(F.sequence("lo", F.col("hi") - 1), start, step)
 
@@ -111,9 +113,9 @@ def fold(parts: str, waiting: Column) -> Column:
         due = F.reverse(F.array_sort(F.concat(F.transform(pending, entry(x["lo"])), F.transform(last, entry(x["hi"])))))
         out = F.transform(F.slice(due, F.lit(1), over.cast("int")), lambda d: d["i"])
         left = item(F.transform(F.array(out), lambda o: F.transform(x["left"], lambda y, i: F.greatest(y, F.array_contains(o, i).cast("int")))), F.lit(0))
-        return F.struct(
-            left.alias("waiting"), (state["idle"] + F.greatest(F.lit(0).cast("long"), x["idle"] - F.size(pending))).alias("idle"), F.concat(state["starts"], F.array(F.struct(x["lo"].alias("lo"), state["waiting"].alias("waiting")))).alias("starts"),
-        )
+        idle = state["idle"] + F.greatest(F.lit(0).cast("long"), x["idle"] - F.size(pending))
+        starts = F.concat(state["starts"], F.array(F.struct(x["lo"].alias("lo"), state["waiting"].alias("waiting"))))
+        return F.struct(left.alias("waiting"), idle.alias("idle"), starts.alias("starts"))
 
     return F.aggregate(parts, start, step)
 
@@ -131,7 +133,8 @@ def schedule(plan: DataFrame, epoch: int | None = None, group: int | None = None
     part = F.array_sort(F.collect_list(F.struct("lo", "hi", "idle", "left"))).alias("parts")
     few = F.broadcast(setting.drop("slots"))  # a row
     groups = alone.groupBy(whole(F.col("lo"), F.lit(epoch * group).cast("long")).alias("g")).agg(part).crossJoin(few)
-    summed = groups.withColumn("f", fold("parts", nobody())).select(item("parts", F.lit(0))["lo"].alias("lo"), F.element_at("parts", -1)["hi"].alias("hi"), F.col("f.idle").alias("idle"), F.col("f.waiting").alias("left"))
+    ends = [item("parts", F.lit(0))["lo"].alias("lo"), F.element_at("parts", -1)["hi"].alias("hi")]
+    summed = groups.withColumn("f", fold("parts", nobody())).select(*ends, F.col("f.idle").alias("idle"), F.col("f.waiting").alias("left"))
     starts = lambda folded: folded.select(F.explode("f.starts").alias("s")).select("s.*")
     tops = starts(summed.agg(part).crossJoin(few).withColumn("f", fold("parts", nobody())))
     by_group = groups.withColumn("_lo", item("parts", F.lit(0))["lo"]).join(tops.withColumnRenamed("lo", "_lo"), "_lo")
@@ -149,7 +152,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     rows = docs.withColumn("_source", F.col(source_col).cast("string")).withColumn("_key", order_key(id_col))
     counts = rows.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     plan = written(target_weights(counts, weights, block, alpha))
-    sources = plan.select(F.posexplode(F.arrays_zip("source", "blocks", "w")).alias("_i", "s"), "total").select("_i", F.col("s.source").alias("_of"), F.col("s.blocks").alias("_blocks"), F.col("s.w").alias("_w"), F.col("total").alias("_total"))
+    each = plan.select(F.posexplode(F.arrays_zip("source", "blocks", "w")).alias("_i", "s"), F.col("total").alias("_total"))
+    sources = each.select("_i", F.col("s.source").alias("_of"), F.col("s.blocks").alias("_blocks"), F.col("s.w").alias("_w"), "_total")
     runs = written(schedule(plan))  # a row a block, read twice
     # The mix ends with the first slot that runs a block which its source lacks.
     end = runs.join(F.broadcast(sources), F.col("i") == F.col("_i")).where(F.col("block") >= F.col("_blocks")).agg(F.min("slot").alias("_end"))
@@ -177,11 +181,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
 def continued(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """All documents in the order of the mix, with their own columns; only sources that given weights leave out are not there.
 
-    After the mix the sources that have blocks left go on by their deadlines, at their weights. Texts pass one shuffle to
-    their ranks, one to their slots and one to the order, all dealt by keys that a hot source spreads over.
+    After the mix the sources that have blocks left go on by their deadlines, at their weights. Rows with equal id and source
+    stand together. Places are found on ids alone, so texts pass one shuffle to their places and one to the order.
     """
-    placed = mix(docs, id_col=id_col, source_col=source_col, **options).where(F.col("_due").isNotNull())
-    return placed.orderBy(F.col("_slot").asc_nulls_last(), "_due", source_col, "_place").select(*docs.columns)
+    placed = mix(docs.select(id_col, source_col), id_col=id_col, source_col=source_col, **options).where(F.col("_due").isNotNull())
+    first = F.min(F.struct(F.col("_slot").isNull().alias("beyond"), F.col("_slot"), F.col("_due"), F.col(source_col).cast("string").alias("source"), F.col("_place")))
+    at = placed.groupBy(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_of")).agg(first.alias("_at"))
+    own = docs.join(at, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_of")))
+    return own.orderBy("_at").select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

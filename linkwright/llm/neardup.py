@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import map_text, written
+from linkwright.llm.common import map_text, scratch, written
 from linkwright.llm.components import components
 
 BANDS, ROWS, EXTRA, SEED = 40, 5, 400, 11
@@ -312,7 +312,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     An id goes as a whole unless its rows differ in ``kept``; then its texts, mostly none, are told apart by their sets.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    own = written(judged(docs, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col), "set_id", "kept"))
+    with scratch(docs.sparkSession) as made:  # signatures, buckets and links are of no use any more
+        own = written(judged(docs, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col), "set_id", "kept"))
+        made.pop()
     verdict = written(own.groupBy(id_col).agg(F.max("kept").alias("some"), F.min("kept").alias("all")).where("NOT all"))
     torn = verdict.where("some").select(id_col)
     stay = docs.join(verdict.select(id_col), id_col, "left_anti").select(*docs.columns)

@@ -28,6 +28,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,11 +107,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, and if asked for ids, compressed (``unpacked`` reads them)."""
     path = tokenizer or default_tokenizer()
 
     def make():
-        ids_of = token_maker(path)
+        ids_of, squeeze = token_maker(path), zstandard.ZstdCompressor(level=1).compress
 
         def work(texts):
             out = []
@@ -118,17 +119,21 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
                 own = []
                 for start, length in cut(len(data) // 4, capacity):
                     part = data[4 * start : 4 * (start + length)]
-                    own.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part)} | ({"ids": np.frombuffer(part, "<u4").astype(np.int32)} if with_ids else {}))
+                    own.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part)} | ({"ids": squeeze(part)} if with_ids else {}))
                 out.append((own,))
             return out
 
         return work
 
-    inner = "start:bigint,length:bigint,ids_crc32:bigint" + ",ids:array<int>" * with_ids
+    inner = "start:bigint,length:bigint,ids_crc32:bigint" + ",ids:binary" * with_ids
     got = map_text(docs, make, f"pieces array<struct<{inner}>>", id_col, text_col)
     return got.select("doc_id", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "piece", "p.*")
 
 
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), "<u4").astype(np.int32)
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations and how often each is used, from the linear program rounded down; together within the demand."""
     k = len(sizes)
@@ -297,7 +302,17 @@ def sequences(docs: DataFrame, **options) -> DataFrame:
     rows = pack(docs, with_ids=True, **options)
     own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))
     pieces = F.transform("own", lambda p: p.dropFields("ids"))
-    return rows.groupBy("sequence_id").agg(own.alias("own")).select("sequence_id", F.flatten("own.ids").alias("ids"), pieces.alias("pieces"))
+    made = rows.groupBy("sequence_id").agg(own.alias("own")).select("sequence_id", F.col("own.ids").alias("ids"), pieces.alias("pieces"))
+    schema = made.withColumn("ids", F.array().cast("array<int>")).schema
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [np.concatenate([unpacked(x) for x in own]) for own in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("sequence_id"), pa.array(ids, pa.list_(pa.int32())), part.column("pieces")], names=["sequence_id", "ids", "pieces"])
+
+    return made.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -269,6 +269,23 @@ def test_sequences_hold_their_documents(spark):
     assert sum(len(r["ids"]) for r in rows) == total and len(rows) <= 1.05 * total / 512 + 1
 
 
+def test_scratch_leaves_what_is_taken_off_its_list(spark):
+    import os
+
+    with common.scratch(spark) as made:
+        first, second = common.written(spark.range(3)), common.written(spark.range(5))
+        kept, gone = made.pop(), made[0]
+    assert second.count() == 5 and os.path.exists(kept) and not os.path.exists(gone) and common.OPEN == []
+    common.forget(second)
+    assert not os.path.exists(kept) and first is not None
+
+
+def test_ranks_of_null_keys(spark):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([None, "", "a", None, "", None])], "k string, id int")
+    got = {r["id"]: r["r"] for r in common.ranked(df, ["k"], [F.col("id")], F.col("id") % 2, "r").collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 2}
+
+
 def test_ranks_within_hot_keys(spark):
     df = spark.range(500).select(F.lit("k").alias("k"), "id")
     got = common.ranked(df, ["k"], [F.col("id")], F.floor(F.col("id") / 100), "r").collect()
