@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ones included. Defined results of the stages: a document without letters (null and empty texts among them) or with no
 language goes in the first; a row with a null id stays and is in no group of near duplicates; of rows with equal id and text
 one stays; a null source is a source of its own; an empty table gives empty tables of the same columns and no sequence.
-``run`` writes what a stage returns to the shared folder and reads it again for the next one.
+``run`` writes what a stage returns to the shared folder and reads it again for the next one. Packing takes the order of the mix
+from the order of the files and of their rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linkwright.llm import language, mixing, neardup, packing, personal
-from linkwright.llm.common import written
+from linkwright.llm.common import with_places, written
 
 #: Texts whose language has a smaller share of their words' marginals are rejected, as are those without letters.
 LEAST_LANGUAGE = 0.4
@@ -39,8 +40,8 @@ def balance(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bundle(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: their ids, and which piece of which document stands where."""
-    return packing.sequences(docs)
+    """Sequences of at most 2048 tokens, numbered in the order of the mix: their ids, and which piece of which document stands where."""
+    return packing.sequences(with_places(docs, "_place"), order_col="_place")
 
 
 STAGES = [("language", identify), ("near_duplicates", deduplicate), ("personal_data", redact), ("mixing", balance), ("packing", bundle)]

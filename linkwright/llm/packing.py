@@ -12,6 +12,11 @@ length, a table of at most CAPACITY rows, so the driver makes a plan whose size
 The plan says which ranks of each length go to which sequences and offsets; pieces are ranked within their length and look
 their place up.
 
+Documents that have places in an order (``order_col``, whole numbers from 0, as the mix gives them) are packed by windows of
+consecutive places, each with a plan of its own, and pieces of a length are ranked by place. Sequences are numbered by window,
+so whoever reads them by number meets the documents in the order, up to a window; within one, lengths are spread evenly. There
+are at most ``WINDOWS`` windows, of ``WINDOW`` places at least, so that plans stay bounded and windows fill their sequences.
+
 Defined results: a null text counts as empty; an empty text is its end token alone; an empty table gives an empty table;
 repeated rows and ids are packed as pieces of their own (equal ones are interchangeable); null ids stay null; other columns
 are not read. Whole texts are tokenised; special tokens' strings in a text are ordinary text.
@@ -24,7 +29,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
-from math import ceil
+from math import ceil, gcd
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,7 @@ CAPACITY, END = 2048, 0
 #: Shares of the capacity from which on a length is large, each with a number of groups. All are tried, and the plan with
 #: the fewest sequences stays: a low share suits a corpus with many short documents, a high one leaves more to best fit.
 SCHEMES = ((1 / 8, 24), (1 / 3, 24), (0.48, 24))
+WINDOW, WINDOWS, PARTS = 8192, 64, 16  # places of a window, windows, and ranges of places of a window that are ranked apart
 CACHE = 300_000  # words whose ids a task keeps
 NOT_LATIN = re.compile("[^\x00-ɏ]")  # texts with such characters go to the tokenizer as they are
 
@@ -266,28 +272,62 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list, i
     return min((plan(counts, groups, max(1, int(share * capacity)), capacity) for share, groups in SCHEMES), key=lambda p: p[1])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def plans(counts: DataFrame, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (_window, length, count): entries with the window before them, sorted; and per window its first sequence, how many it
+    has, and the step by which they are numbered. Windows are planned side by side."""
+    fields = ["_window", "length", "low", "wide", "sequence", "offset"]
+
+    def work(table: pa.Table) -> pa.Table:
+        window = table.column("_window")[0].as_py()
+        entries, n = best_plan(dict(zip(table.column("length").to_pylist(), table.column("count").to_pylist(), strict=True)), capacity)
+        rows = np.array([(window, *e) for e in [*entries, (-1, 0, 0, n, 0)]], np.int64)
+        return pa.table([pa.array(c) for c in rows.T], names=fields)
+
+    made = counts.groupBy("_window").applyInArrow(work, ", ".join(f"{f} long" for f in fields)).toArrow()  # bounded by windows and the capacity
+    rows = np.array([made.column(f).to_numpy() for f in fields], np.int64).T.reshape(-1, 6)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    last = rows[:, 1] < 0
+    windows, base = np.zeros((int(rows[-1, 0]) + 1 if len(rows) else 0, 3), np.int64), 0
+    for window, n in rows[last][:, [0, 4]].tolist():
+        # Plans have the long pieces first; a step near the golden section of n, without a common factor, spreads them.
+        step = next(x for x in range(max(1, round(0.618 * n)), 2 * n + 2) if gcd(x, n) == 1)
+        windows[window], base = (base, n, step), base + n
+    return rows[~last], windows
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids: ``sequences`` joins them)."""
-    pieces = written(pieces_of(docs, capacity, tokenizer, with_ids, id_col, text_col))
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    entries, _ = best_plan(counts, capacity)
-    # A hot length spreads over 256 buckets.
-    rows = ranked(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(256)), "_rank")
-    table = np.array(sorted(entries), np.int64).reshape(-1, 5)  # its size is bounded by the capacity, not by the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = rows.drop("_rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    if order_col:
+        most = docs.agg(F.max(order_col)).first()[0] or 0
+        size = max(WINDOW, ceil((most + 1) / WINDOWS))
+        keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("place")).alias("doc_id"), text_col)
+        made = pieces_of(keyed, capacity, tokenizer, with_ids, "doc_id", text_col)
+        pieces = made.select(F.col("doc_id.id").alias("doc_id"), *made.columns[1:], F.col("doc_id.place").alias("_place"), F.floor(F.col("doc_id.place") / size).alias("_window"))
+        order, spread = [F.col("_place")], F.floor(F.col("_place") % size * PARTS / size)
+    else:
+        pieces = pieces_of(docs, capacity, tokenizer, with_ids, id_col, text_col).withColumn("_window", F.lit(0).cast("long"))
+        order, spread = [], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(256))  # a hot length spreads over 256 buckets
+    pieces = written(pieces)
+    table, windows = plans(pieces.groupBy("_window", "length").count(), capacity)
+    if not order_col:
+        windows[:, 2] = 1
+    rows = ranked(pieces, ["_window", "length"], [*order, F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")], spread, "_rank")
+    shared = docs.sparkSession.sparkContext.broadcast((table, windows))
+    schema = rows.drop("_rank", "_window", "_place").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def place(batches):
-        entry = shared.value
-        key = entry[:, 0] << 44 | entry[:, 1]  # length, then low; ranks stay below 2 ** 44
+        entry, numbers = shared.value
+        coded = lambda window, length, rank: (window * (capacity + 1) + length) << 40 | rank  # noqa: E731  # ranks stay below 2 ** 40
+        key = coded(*entry[:, :3].T)
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
-            e = entry[np.searchsorted(key, length << 44 | rank, side="right") - 1] if len(entry) else entry[:0]
-            away = rank - e[:, 1]
-            keep = [n for n in batch.schema.names if n != "_rank"]
+            window, length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_window", "length", "_rank"))
+            e = entry[np.searchsorted(key, coded(window, length, rank), side="right") - 1] if len(entry) else entry[:0]
+            base, n, step = numbers[window].T
+            away = rank - e[:, 2]
+            sequence = base + (e[:, 4] + away % e[:, 3]) * step % n
+            keep = schema.names[:-2]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in keep), pa.array(e[:, 3] + away % e[:, 2]), pa.array(e[:, 4] + away // e[:, 2] * length)],
+                [*(batch.column(c) for c in keep), pa.array(sequence), pa.array(e[:, 5] + away // e[:, 3] * length)],
                 names=[*keep, "sequence_id", "offset"],
             )
 
@@ -297,7 +337,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 def sequences(docs: DataFrame, **options) -> DataFrame:
     """Per sequence: sequence_id, ids (all tokens in order), and pieces array<struct<offset, doc_id, piece, start, length>>.
 
-    A sequence holds at most ``capacity`` tokens, so a group is bounded.
+    ``options``: as ``pack`` has them. A sequence holds at most ``capacity`` tokens, so a group is bounded.
     """
     rows = pack(docs, with_ids=True, **options)
     own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))

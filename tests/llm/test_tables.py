@@ -334,6 +334,25 @@ def test_pipeline_on_awkward_rows_and_empty_tables(spark):
         assert stage(spark, none, SMALL).collect() == [], name
 
 
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """Sequences by number hold windows of the mixed order, whole and about as full as without it."""
+    monkeypatch.setattr(packing, "WINDOW", 100)
+    rows = [(i, "word " * (i * 37 % 300), "en", "rare" if i % 10 == 0 else "common", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mix = common.written(corpus_pipeline.balance(spark, docs, "").repartitionByRange(7, "doc_id"))  # another order, in several files
+    place = {r["doc_id"]: r["_place"] for r in common.with_places(mix, "_place").collect()}
+    assert sorted(place.values()) == list(range(1000))
+    got = corpus_pipeline.bundle(spark, mix, "").collect()
+    windows = [{place[p["doc_id"]] // 100 for p in r["pieces"]} for r in sorted(got, key=lambda r: r["sequence_id"])]
+    assert all(len(w) == 1 for w in windows) and [min(w) for w in windows] == sorted(min(w) for w in windows) and len({min(w) for w in windows}) == 10
+    assert sorted(p["doc_id"] for r in got for p in r["pieces"]) == list(range(1000)) and len({r["sequence_id"] for r in got}) == len(got)
+    assert all(len(r["ids"]) == sum(p["length"] for p in r["pieces"]) <= 2048 for r in got)
+    # Without the mix's order before it, packing gives other sequences.
+    mixed = common.written(corpus_pipeline.balance(spark, docs, ""))
+    contents = lambda rows: {tuple(p["doc_id"] for p in r["pieces"]) for r in rows}
+    assert contents(corpus_pipeline.bundle(spark, mixed, "").collect()) != contents(got)
+
+
 def test_packing_query_against_the_tokenizer(spark):
     """Every id of every whole text stands once, in pieces that fill sequences without gaps, in about as few as can be."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000)], "doc_id long, text string"))
