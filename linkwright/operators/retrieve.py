@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 REVERSE_K = 3
 #: ln 1000: suits indexes of millions of records; small ones need a lower one.
 MIN_IDF = 6.907755278982137
-#: A country's queries come in blocks of so many, in larger ones rather than in more than BLOCKS; both bound what a task holds
-#: and how often the index is copied. MOST is the most of a block; a shard has so many postings.
-BLOCK, BLOCKS, MOST, SHARD = 16_000, 32, 256_000, 3_000_000
+#: A country's queries come in blocks of so many, in larger ones rather than in more than CELLS cells of block and shard; both
+#: bound how often the index is copied. MOST is the most of a block; a shard has so many postings. These bound what a task holds.
+BLOCK, CELLS, MOST, SHARD = 32_000, 32, 256_000, 3_000_000
 
 
 def document_counts(bags: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def _cells(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """country, blocks, shards: how often the queries and the index of each country are divided."""
     n = queries.groupBy("country").agg(F.count(F.lit(1)).alias("n")).join(postings.groupBy("country").agg(F.count(F.lit(1)).alias("m")), "country")
     parts = lambda c, size: F.ceil(F.col(c) / size)
-    return n.select("country", F.greatest(F.least(parts("n", BLOCK), F.lit(BLOCKS)), parts("n", MOST)).alias("blocks"), parts("m", SHARD).alias("shards"))
+    blocks = F.greatest(F.least(parts("n", BLOCK), F.ceil(F.lit(CELLS) / parts("m", SHARD))), parts("n", MOST))
+    return n.select("country", blocks.alias("blocks"), parts("m", SHARD).alias("shards"))
 
 
 def _best_of_cell(k: int):

@@ -72,3 +72,12 @@ def test_views_are_kept_one_after_another(spark):
     got = retrieve.multi_view(s1, s23, 4, 0.1, keep)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieve.multi_view(s1, s23, 4, 0.1).collect())) == [("S1-1", "S2-2"), ("S1-1", "S2-3")]
     assert len(kept) == 9
+
+
+def test_the_index_is_copied_no_more_often_than_cells_ask(spark, monkeypatch):
+    for name, value in (("BLOCK", 2), ("SHARD", 3), ("MOST", 100), ("CELLS", 12)):
+        monkeypatch.setattr(retrieve, name, value, raising=False)
+    queries, postings = (spark.range(n).selectExpr("'en' AS country", "id") for n in (40, 12))
+    assert tuple(retrieve._cells(queries, postings).first()) == ("en", 3, 4)
+    monkeypatch.setattr(retrieve, "MOST", 5)  # what a task holds stays bounded
+    assert tuple(retrieve._cells(queries, postings).first()) == ("en", 8, 4)
