@@ -21,17 +21,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import map_text
+from linkwright.llm.common import map_text, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE = 60
 LEXICON_LEAST = 3  # a word is a feature of its own from so many places in the sample
 SEQUENCE, ROUNDS, STEP, DECAY = 24, 40, 0.5, 1e-4
 CACHE = 100_000  # words whose emissions a task keeps
+TEXTS = 512  # texts whose words stand in memory at the same time, where documents are filtered
 
 
 def features(word: str) -> list[str]:
@@ -241,14 +242,18 @@ def accepted(docs: DataFrame, field: Field | None, least: float, text_col: str =
     """``docs`` without the rows whose text is ``und`` or whose language scores below ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(field and field.parts())
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         tagger = Tagger(Field(*model)) if model else None
         for texts in batches:
-            own = texts.where(texts.notna(), None).tolist()
-            got = [p for at in range(0, len(own), 1024) for p in tagger.predict(own[at : at + 1024])] if tagger else [("und", 0.0)] * len(own)
-            yield pd.Series([-1.0 if lang == "und" else s for lang, s in got], dtype="float64")
+            got = []
+            for at in range(0, len(texts), TEXTS):
+                own = texts.slice(at, TEXTS).to_pylist()
+                got += tagger.predict(own) if tagger else [("und", 0.0)] * len(own)
+            yield pa.array([-1.0 if lang == "und" else s for lang, s in got], pa.float64())
 
     return docs.withColumn("_score", score(F.col(text_col).cast("string"))).where(F.col("_score") >= least).select(*docs.columns)
 

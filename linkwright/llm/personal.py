@@ -21,7 +21,7 @@ from operator import and_, itemgetter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import map_text, once
+from linkwright.llm.common import map_text, once, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
@@ -241,6 +241,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark of its kind; ``length_col``, if there, counts the new text."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def mask(texts):
