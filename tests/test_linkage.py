@@ -39,6 +39,29 @@ def test_partial_ratio_against_all_windows():
         assert similarity.partial_ratio(a, b) == pytest.approx(best)
 
 
+def test_kernels_of_many_pairs_equal_those_of_one(monkeypatch):
+    rng = random.Random(11)
+    some = lambda: " ".join("".join(rng.choice(rng.choice(["ab", "abcdefgh 0123", "aé漢😀"])) for _ in range(rng.randint(0, 9))) for _ in range(rng.choice([0, 1, 3, 9, 25])))
+    texts = [some() for _ in range(60)] + ["", " ", *("ab" * 99)[:130:13], *("x" * n for n in (63, 64, 65, 128, 129)), "z" * 64 + "x"]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(600)] + [(t, " ".join(rng.sample(t.split(" "), t.count(" ") + 1))) for t in texts]
+    want = {name: [kernel(*p) for p in pairs] for name, kernel in similarity.KERNELS.items()}
+    # No pair goes by itself unless its strings are very long.
+    for name in ("common_subsequence", "ratio", "_windows", "partial_ratio", "token_set_ratio", "token_sort_ratio"):
+        monkeypatch.setattr(similarity, name, None)
+    for cells in (similarity.CELLS, 100):
+        monkeypatch.setattr(similarity, "CELLS", cells)
+        got = similarity.compare_all(pairs, tuple(want))
+        assert {name: list(values) for name, values in got.items()} == want
+
+
+def test_kernels_in_spark(spark):
+    rows = [("acme foods", "foods acme ltd"), (None, ""), ("", "a"), ("a" * 700, "b" + "a" * 699), ("acme foods", "foods acme ltd")]
+    names = tuple(similarity.KERNELS)
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1).select("a", "b", similarity.kernels(F.col("a"), F.col("b"), *names).alias("k"))
+    for r in [*df.collect(), *df.limit(0).collect()]:
+        assert list(r.k) == [similarity.KERNELS[n](r.a or "", r.b or "") for n in names]
+
+
 def test_kernel_corner_cases():
     assert similarity.ratio("", "") == 100 and similarity.token_set_ratio("", "a") == 0
     assert similarity.token_set_ratio("acme foods", "foods acme ltd") == 100
