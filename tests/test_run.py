@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import text as T
 from linkwright.functions.scripts import latin_records, romanise
-from linkwright.operators import decide, measure, model, quality
+from linkwright.operators import decide, measure, model, quality, retrieve
 from linkwright.plans import linkage, run
 from linkwright.sources import records as R
 
@@ -91,6 +91,35 @@ def test_rounds_stop_where_the_loss_does(spark):
     assert model.best_rounds(rest, held.limit(0), 1, most=16, patience=4) == 8
 
 
+def test_shorter_models_come_from_longer_fits(spark, monkeypatch):
+    rows = linkage.documents(spark, SMALL, linkage.Settings(top_k=3, min_idf=1.0), keep=True).labelled.persist()
+    held, rest = (rows.where(f"crc32(source1_entity_id) % 3 {x} 0") for x in ("=", "<>"))
+    fits, fit = [], model.fit
+    monkeypatch.setattr(model, "fit", lambda *a, **k: fits.append(a[2]) or fit(*a, **k))
+    rounds, made = model.best_fit(rest, held, 1, most=6, patience=2, minInstancesPerNode=1)
+    assert fits == [6] and rounds == model.best_rounds(rest, held, 1, most=6, patience=2, minInstancesPerNode=1)
+    p = lambda m: sorted((r[0], r[1], r[2]) for r in model.predict(m, rows).select("source1_entity_id", "candidate_entity_id", "p").collect())
+    assert p(made) == p(fit(rest, 1, rounds, minInstancesPerNode=1))
+    long = fit(rest, 1, 5, minInstancesPerNode=1)
+    assert p(model.first_rounds(long, 3)) == p(fit(rest, 1, 3, minInstancesPerNode=1)) != p(long)
+
+
+def test_training_shares_lists_with_the_whole(spark, monkeypatch):
+    settings, asked = linkage.Settings(top_k=4, min_idf=1.0, n_s1=60, drop_s1=0.25), []
+    found = retrieve.retrieve
+    monkeypatch.setattr(retrieve, "retrieve", lambda *a: asked.append(a[-1]) or found(*a))
+    lists = lambda w: [sorted(map(tuple, getattr(w, x).select(*sorted(getattr(w, x).columns)).collect())) for x in ("forward", "reverse", "edges", "context")]
+    work = linkage.documents(spark, SMALL, settings, keep=True)
+    alone = lists(work), lists(linkage.training_part(work))
+    asked.clear()
+    work = linkage.documents(spark, SMALL, settings, keep=True)
+    part = linkage.training_part(work)
+    linkage.share(work, part)
+    assert (lists(work), lists(part)) == alone and alone[1][2]
+    # Forward lists and the nearest records of anchors once, reverse lists of each first source.
+    assert sorted(asked) == sorted([settings.top_k, settings.siblings + 1, settings.reverse_k, settings.reverse_k])
+
+
 def test_other_scripts_link(spark):
     names = [("फाइनेंस प्राइवेट", "phainyans praibhet"), ("राम मार्केटिंग", "ram marketing"), ("विजय फूड्स", "vijay foods")]
     skeletons = lambda words: [tuple(r[0]) for r in spark.createDataFrame([(w,) for w in words], "s string").select(T.skeletons(T.tokens(F.col("s")))).collect()]
